@@ -18,11 +18,11 @@ def rfc3339_seconds(c: Column | str) -> Column:
     A leap second (:60) counts as the first second of the next minute.
     """
     c = F.col(c) if isinstance(c, str) else c
-    part = lambda i: F.regexp_extract(c, RFC3339, i)
+    # the pattern fixes every place but the offset's, which is counted from the end
+    two = lambda at: F.substring(c, at, 2).try_cast("int")
     days = F.unix_date(F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd")).cast("bigint")
-    offset = (part(9).try_cast("int") * 3600 + part(10).try_cast("int") * 60) * F.when(part(8) == "-", -1).otherwise(1)
-    clock = part(4).try_cast("int") * 3600 + part(5).try_cast("int") * 60 + part(6).try_cast("int")
-    return F.when(c.rlike(RFC3339), days * 86400 + clock - F.coalesce(offset, F.lit(0)))
+    offset = F.when(F.substring(c, -1, 1).isin("Z", "z"), F.lit(0)).otherwise((two(-5) * 3600 + two(-2) * 60) * F.when(F.substring(c, -6, 1) == "-", -1).otherwise(1))
+    return F.when(c.rlike(RFC3339), days * 86400 + two(12) * 3600 + two(15) * 60 + two(18) - offset)
 
 
 def rfc3339_nanos(c: Column | str) -> Column:
