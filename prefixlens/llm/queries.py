@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from prefixlens.llm import neardup
+from prefixlens.functions.times import rfc3339_seconds, utc_day
+from prefixlens.llm import neardup, quantiles, spans
 from prefixlens.sources import payload as P
-from prefixlens.sources.tables import table
+from prefixlens.sources.tables import table, written
 
 #: Problem 1 as stated for these data: three words, 0.6, at least 40 words.
 P1 = {"n": 3, "threshold": "3/5", "min_words": 40}
@@ -40,7 +42,81 @@ def p1_classes(spark: SparkSession, base: str) -> DataFrame:
     return neardup.link_counts(*_p1(spark, base))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes)}
+#: Problem 2: spans of 240 characters.
+P2_LENGTH = 240
+
+
+def tool_outputs(b: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
+    """(line, strings of the tool messages) of the sound payloads that declare a tool of type function."""
+    for line, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        o = P.sound(text)
+        if o is None or line is None:
+            continue
+        declared = o.get("tools")
+        if type(declared) is not list or not any(type(t) is dict and t.get("type") == "function" for t in declared):
+            continue
+        found = [s for m in o["messages"] if m.get("role") == "tool" for s in P.content_strings(m.get("content"))]
+        if found:
+            yield line, found
+
+
+def _p2(spark: SparkSession, base: str) -> DataFrame:
+    return spans.find(table(spark, base, "requests").select("input_line", "payload"), tool_outputs, P2_LENGTH)
+
+
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return spans.sharing_pairs(_p2(spark, base))
+
+
+def p2_shared(spark: SparkSession, base: str) -> DataFrame:
+    """Per request: how many characters of its tool outputs stand in other requests too."""
+    return spans.shared_chars(_p2(spark, base), P2_LENGTH).withColumnRenamed("id", "input_line")
+
+
+#: Problem 3: (metric, percentile, the value it must exceed), and the values a group must have.
+P3_LIMITS = (("ttft_ms", 0.5, 1500), ("total_ms", 0.95, 45000))
+P3_LEAST = 20
+_P3_KEYS = ["endpoint_key", "utc_day", "metric"]
+
+
+def latencies(records: DataFrame) -> DataFrame:
+    """(endpoint_key, utc_day, metric, value) of corpus records: each row once, valid instants only."""
+    usage = F.col("response_usage")
+    once = records.select("input_line", F.col("comparison.endpoint_key").alias("endpoint_key"), "captured_at", usage["ttft_ms"].alias("ttft_ms"), usage["total_ms"].alias("total_ms")).where("ttft_ms IS NOT NULL OR total_ms IS NOT NULL").distinct()
+    dated = once.select("endpoint_key", utc_day(rfc3339_seconds("captured_at")).alias("utc_day"), "ttft_ms", "total_ms").where(F.col("utc_day").isNotNull())
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m, _, _ in P3_LIMITS])
+    return dated.select("endpoint_key", "utc_day", F.explode(pairs).alias("x")).select("endpoint_key", "utc_day", "x.metric", "x.value").where("value IS NOT NULL")
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    """Read from the digests; only groups whose interval holds the limit are counted exactly."""
+    values = latencies(table(spark, base, "corpus_records"))
+    bounds = quantiles.percentiles(quantiles.digest(values, _P3_KEYS, F.col("value")), _P3_KEYS, tuple(sorted({q for _, q, _ in P3_LIMITS})))
+    limits = [(F.col("metric") == m) & (F.col("q").cast("decimal(12,10)") == F.lit(repr(q)).cast("decimal(12,10)")) for m, q, _ in P3_LIMITS]
+    limit = F.coalesce(*[F.when(on, F.lit(x).cast("bigint")) for on, (_, _, x) in zip(limits, P3_LIMITS)])
+    judged = written(bounds.withColumn("limit", limit).where((F.col("n") >= P3_LEAST) & F.col("limit").isNotNull() & (F.col("high") > F.col("limit"))), "quantile-bounds")
+    open_groups = judged.where("low <= limit").select(*[F.col(k).alias(f"_{k}") for k in _P3_KEYS], "limit", "q", "n")
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in _P3_KEYS]
+    exact = (
+        values.join(open_groups, on).groupBy(*_P3_KEYS, "limit", "q", "n").agg(F.count_if(F.col("value") <= F.col("limit")).alias("below"))
+        .where(F.col("below") < F.col("q").cast("decimal(12,10)") * F.col("n"))
+    )
+    return judged.where("low > limit").select(*_P3_KEYS).unionByName(exact.select(*_P3_KEYS))
+
+
+def p3_daily(spark: SparkSession, base: str) -> DataFrame:
+    values = latencies(table(spark, base, "corpus_records"))
+    return quantiles.percentiles(quantiles.digest(values, _P3_KEYS, F.col("value")), _P3_KEYS, (0.5, 0.9, 0.95, 0.99))
+
+
+def p3_endpoints(spark: SparkSession, base: str) -> DataFrame:
+    """Percentiles over all days of each endpoint, from the days' digests alone."""
+    values = latencies(table(spark, base, "corpus_records"))
+    merged = quantiles.merge(quantiles.digest(values, _P3_KEYS, F.col("value")), ["endpoint_key", "metric"])
+    return quantiles.percentiles(merged, ["endpoint_key", "metric"], (0.5, 0.9, 0.95, 0.99))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_shared, p3_found, p3_daily, p3_endpoints)}
 
 _WORDS = r"regexp_extract_all({x}, '[\p{{L}}\p{{N}}]+')"
 _P1_PAIRS = f"""
@@ -55,13 +131,37 @@ n AS (SELECT input_line, count(*) AS n FROM g GROUP BY 1),
 o AS (SELECT a.input_line AS line_a, b.input_line AS line_b, count(*) AS c FROM g a JOIN g b ON a.model = b.model AND a.g = b.g AND a.input_line < b.input_line GROUP BY ALL),
 pairs AS (SELECT line_a, line_b FROM o JOIN n x ON x.input_line = line_a JOIN n y ON y.input_line = line_b WHERE 8 * c >= 3 * (x.n + y.n))
 """
+_P2_WINDOWS = f"""
+fn AS (SELECT DISTINCT input_line FROM tl WHERE json_type(t, '$.type') = 'VARCHAR' AND t->>'$.type' = 'function'),
+tm AS (SELECT input_line, i, m FROM msg SEMI JOIN fn USING (input_line) WHERE json_type(m, '$.role') = 'VARCHAR' AND m->>'$.role' = 'tool'),
+s AS (SELECT input_line, i, -1 AS j, m->>'$.content' AS t FROM tm WHERE json_type(m, '$.content') = 'VARCHAR'
+      UNION ALL SELECT input_line, i, j, @BLOCK@ FROM blk SEMI JOIN tm USING (input_line, i)),
+win AS (SELECT input_line, i, j, k, substr(t, k, {P2_LENGTH}) AS w FROM (SELECT *, unnest(range(1, length(t) - {P2_LENGTH} + 2)) AS k FROM s WHERE length(t) >= {P2_LENGTH})),
+shared AS (SELECT * FROM win WHERE w IN (SELECT w FROM win GROUP BY w HAVING count(DISTINCT input_line) > 1))
+"""
 
 
 def _sql() -> dict[str, str]:
     from prefixlens.plans.problems import BLOCK_SQL, SOUND_SQL
 
     pairs = SOUND_SQL + "," + _P1_PAIRS.replace("@BLOCK@", BLOCK_SQL)
-    return {"p1_found": f"WITH {pairs} SELECT line_a, line_b FROM pairs"}
+    windows = SOUND_SQL + "," + _P2_WINDOWS.replace("@BLOCK@", BLOCK_SQL)
+    rfc = r"(\d{4})-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])[Tt]([01]\d|2[0-3]):([0-5]\d):([0-5]\d|60)(\.\d+)?([Zz]|[+-]([01]\d|2[0-3]):[0-5]\d)"
+    return {
+        "p3_found": f"""
+            WITH once AS (SELECT DISTINCT input_line, comparison.endpoint_key AS endpoint_key, captured_at, response_usage.ttft_ms AS ttft_ms, response_usage.total_ms AS total_ms FROM corpus_records),
+            dated AS (SELECT *, strftime(timezone('UTC', try_cast(captured_at AS TIMESTAMPTZ)), '%Y-%m-%d') AS utc_day FROM once WHERE regexp_full_match(captured_at, '{rfc}')),
+            v AS (SELECT endpoint_key, utc_day, 'ttft_ms' AS metric, ttft_ms AS x, 50 AS q, 1500 AS lim FROM dated WHERE ttft_ms IS NOT NULL AND utc_day IS NOT NULL
+                  UNION ALL SELECT endpoint_key, utc_day, 'total_ms', total_ms, 95, 45000 FROM dated WHERE total_ms IS NOT NULL AND utc_day IS NOT NULL)
+            SELECT endpoint_key, utc_day, metric FROM v GROUP BY ALL
+            HAVING count(*) >= 20 AND 100 * count(*) FILTER (x <= lim) < any_value(q) * count(*)""",
+        "p1_found": f"WITH {pairs} SELECT line_a, line_b FROM pairs",
+        "p2_found": f"WITH {windows} SELECT DISTINCT a.input_line AS line_a, b.input_line AS line_b FROM shared a JOIN shared b ON a.w = b.w AND a.input_line < b.input_line",
+        "p2_shared": f"""WITH {windows},
+            gaps AS (SELECT input_line, i, j, k, k - lag(k) OVER (PARTITION BY input_line, i, j ORDER BY k) AS gap FROM shared)
+            SELECT input_line, sum(CASE WHEN gap IS NULL OR gap > {P2_LENGTH} THEN {P2_LENGTH} ELSE gap END)::BIGINT AS shared_chars,
+                   count(*) FILTER (gap IS NULL OR gap > {P2_LENGTH}) AS stretches FROM gaps GROUP BY 1""",
+    }
 
 
 SQL = _sql()
