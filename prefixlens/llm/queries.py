@@ -8,8 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prefixlens.functions.strings import clean_key
 from prefixlens.functions.times import rfc3339_seconds, utc_day
-from prefixlens.llm import neardup, quantiles, spans
+from prefixlens.llm import leakage, mixing, neardup, quantiles, spans
 from prefixlens.sources import payload as P
 from prefixlens.sources.tables import table, written
 
@@ -116,7 +117,35 @@ def p3_endpoints(spark: SparkSession, base: str) -> DataFrame:
     return quantiles.percentiles(merged, ["endpoint_key", "metric"], (0.5, 0.9, 0.95, 0.99))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_shared, p3_found, p3_daily, p3_endpoints)}
+#: Problem 6: runs of 12 words.
+P6_WORDS = 12
+
+
+def p6_leaks(spark: SparkSession, base: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, base, "documents"), table(spark, base, "eval_items"), P6_WORDS)
+
+
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    return p6_leaks(spark, base).select("doc_id", "item_id").distinct()
+
+
+def _p7(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, base, "documents").select(
+        "doc_id", "source", F.lower(F.split(clean_key("lang"), "[-_]")[0]).alias("language"), clean_key("endpoint_key").alias("topic"), "text"
+    )
+    targets = table(spark, base, "mix_targets")
+    return mixing.mix(written(mixing.count_tokens(docs), "mixing-tokens"), targets), targets
+
+
+def p7_mix(spark: SparkSession, base: str) -> DataFrame:
+    return _p7(spark, base)[0]
+
+
+def p7_shares(spark: SparkSession, base: str) -> DataFrame:
+    return mixing.shares(*_p7(spark, base))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_shared, p3_found, p3_daily, p3_endpoints, p6_found, p6_leaks, p7_mix, p7_shares)}
 
 _WORDS = r"regexp_extract_all({x}, '[\p{{L}}\p{{N}}]+')"
 _P1_PAIRS = f"""
@@ -147,7 +176,14 @@ def _sql() -> dict[str, str]:
     pairs = SOUND_SQL + "," + _P1_PAIRS.replace("@BLOCK@", BLOCK_SQL)
     windows = SOUND_SQL + "," + _P2_WINDOWS.replace("@BLOCK@", BLOCK_SQL)
     rfc = r"(\d{4})-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])[Tt]([01]\d|2[0-3]):([0-5]\d):([0-5]\d|60)(\.\d+)?([Zz]|[+-]([01]\d|2[0-3]):[0-5]\d)"
+    item = "SELECT item_id, field, list_transform(" + _WORDS.format(x="t") + ", lambda x: lower(x)) AS ws FROM (SELECT item_id, 'prompt' AS field, prompt AS t FROM eval_items UNION ALL SELECT item_id, 'answer', answer FROM eval_items)"
+    leaks = f"""
+        iw AS ({item}),
+        ig AS (SELECT DISTINCT item_id, field, unnest(list_transform(range(1, len(ws) - {P6_WORDS} + 2), lambda k: array_to_string(ws[k : k + {P6_WORDS - 1}], ' '))) AS g FROM iw),
+        dw AS (SELECT doc_id, list_transform({_WORDS.format(x="text")}, lambda x: lower(x)) AS ws FROM documents),
+        dg AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - {P6_WORDS} + 2), lambda k: array_to_string(ws[k : k + {P6_WORDS - 1}], ' '))) AS g FROM dw)"""
     return {
+        "p6_found": f"WITH {leaks} SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
         "p3_found": f"""
             WITH once AS (SELECT DISTINCT input_line, comparison.endpoint_key AS endpoint_key, captured_at, response_usage.ttft_ms AS ttft_ms, response_usage.total_ms AS total_ms FROM corpus_records),
             dated AS (SELECT *, strftime(timezone('UTC', try_cast(captured_at AS TIMESTAMPTZ)), '%Y-%m-%d') AS utc_day FROM once WHERE regexp_full_match(captured_at, '{rfc}')),
