@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from prefixlens.functions.strings import clean_key
 from prefixlens.functions.times import rfc3339_seconds, utc_day
-from prefixlens.llm import leakage, mixing, neardup, quantiles, spans
+from prefixlens.llm import language, leakage, mixing, neardup, quantiles, spans
 from prefixlens.sources import payload as P
 from prefixlens.sources.tables import table, written
 
@@ -145,7 +145,20 @@ def p7_shares(spark: SparkSession, base: str) -> DataFrame:
     return mixing.shares(*_p7(spark, base))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_shared, p3_found, p3_daily, p3_endpoints, p6_found, p6_leaks, p7_mix, p7_shares)}
+def p8_segments(spark: SparkSession, base: str) -> DataFrame:
+    return language.segments(table(spark, base, "documents"), table(spark, base, "lang_samples"))
+
+
+def p8_documents(spark: SparkSession, base: str) -> DataFrame:
+    return language.document_languages(p8_segments(spark, base))
+
+
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    known = [r.lang for r in table(spark, base, "lang_samples").select("lang").where("lang IS NOT NULL").distinct().orderBy("lang").collect()]
+    return language.unnamed_languages(p8_segments(spark, base), known)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_shared, p3_found, p3_daily, p3_endpoints, p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_segments, p8_documents)}
 
 _WORDS = r"regexp_extract_all({x}, '[\p{{L}}\p{{N}}]+')"
 _P1_PAIRS = f"""
