@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from prefixlens.plans import problems
+from prefixlens.plans import analysis_queries, problems
 
-FLAGSHIP = "p5_found"
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+FLAGSHIP = "prefix_reuse_by_session"
+QUERIES = {**analysis_queries.QUERIES, **problems.QUERIES}
+SQL = {**analysis_queries.SQL, **problems.SQL}
