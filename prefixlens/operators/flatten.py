@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefixlens.sources import payload as P
+from prefixlens.sources.tables import spread
 
 
 def child_index(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray, pa.Array]:
@@ -182,7 +183,7 @@ def flatten_payloads(df: DataFrame, line: str = "input_line", payload: str = "pa
             yield rows(keys, tools, TOOL, None)[0]
 
     picked = df.select(F.col(f"`{line}`").cast("bigint").alias("input_line"), F.col(f"`{payload}`").cast("string").alias("payload"))
-    return picked.mapInArrow(run, FULL_SCHEMA if full else KEY_SCHEMA)
+    return spread(picked).mapInArrow(run, FULL_SCHEMA if full else KEY_SCHEMA)
 
 
 def messages_table(flat: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ FIELDS = ("name", "content", "function_call", "tool_calls", "tool_call_id", "ref
 _UNIT = (
     ("kind", pa.string()), ("alignment_key", pa.string()), ("content", pa.string()), ("json_path", pa.string()), ("bytes", pa.int64()), ("ranged", pa.bool_()),
     ("message_index", pa.int64()), ("role", pa.string()), ("tool_identity", pa.string()), ("collection", pa.string()), ("parent_json_path", pa.string()),
-    ("element_index", pa.int64()), ("content_block_index", pa.int64()), ("fp", pa.string()),
+    ("element_index", pa.int64()), ("content_block_index", pa.int64()), ("fp", pa.string()), ("digest", pa.string()),
 )
 UNIT = "struct<" + ", ".join(f"{n}: {'boolean' if t == pa.bool_() else 'bigint' if t == pa.int64() else 'string'}" for n, t in _UNIT) + ">"
 
@@ -54,8 +54,10 @@ class _Units:
         self.options, self.rows = options, []
 
     def add(self, kind: str, key: str, content: str, path: str, collection: str, parent: str, message=None, role=None, tool=None, element=None, block=None, ranged=False) -> None:
-        fp = hashlib.blake2b("\0".join((kind, key, collection, content)).encode(), digest_size=16).hexdigest()
-        self.rows.append((kind, key, content, path, len(content.encode()), ranged, message, role, tool, collection, parent, element, block, fp))
+        raw = content.encode()
+        fp = hashlib.blake2b("\0".join((kind, key, collection, "")).encode() + raw, digest_size=16).hexdigest()
+        short = hashlib.sha256(raw).hexdigest()[:8]
+        self.rows.append((kind, key, content, path, len(raw), ranged, message, role, tool, collection, parent, element, block, fp, short))
 
     def check(self) -> None:
         if len(self.rows) > self.options.max_projection_units:

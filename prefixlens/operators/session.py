@@ -29,13 +29,14 @@ def slim_units(units: Column) -> Column:
 
 
 def block_runs(units: Column) -> Column:
-    """Runs of equal content digests as ``digest x count``, joined by slashes."""
-    digests = F.transform(F.filter(units, lambda u: u["kind"].isin(*CONTENT_KINDS)), lambda u: F.substring(F.sha2(u["content"], 256), 1, 8))
-    # positions at which a run begins, then the distance to the next beginning
-    at = F.filter(F.sequence(F.lit(1), F.size(digests)), lambda i: (i == 1) | (F.element_at(digests, i.cast("int")) != F.try_element_at(digests, (i - 1 + F.when(i == 1, 1).otherwise(0)).cast("int"))))
-    ends = F.concat(F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), F.array(F.size(digests) + 1))
-    runs = F.zip_with(at, ends, lambda a, b: F.concat(F.element_at(digests, a.cast("int")), F.lit("x"), (b - a).cast("string")))
-    return F.when(F.size(digests) == 0, "").otherwise(F.array_join(runs, "/"))
+    """Runs of equal content digests as ``digest x count``, joined by slashes; one pass over the units."""
+    digests = F.transform(F.filter(units, lambda u: u["kind"].isin(*CONTENT_KINDS)), lambda u: u["digest"])
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("last"), F.lit(0).alias("n"))
+    closed = lambda a: F.when(a["n"] == 0, "").otherwise(F.concat(a["done"], F.when(a["done"] == "", "").otherwise("/"), a["last"], F.lit("x"), a["n"].cast("string")))
+    step = lambda a, d: F.when(
+        (a["n"] > 0) & (a["last"] == d), F.struct(a["done"].alias("done"), a["last"].alias("last"), (a["n"] + 1).alias("n"))
+    ).otherwise(F.struct(closed(a).alias("done"), d.alias("last"), F.lit(1).alias("n")))
+    return F.aggregate(digests, start, step, closed)
 
 
 def array_lcp(a: Column, b: Column) -> Column:

@@ -18,6 +18,7 @@ from prefixlens.functions import canonical as C
 from prefixlens.functions.strings import py_trim
 from prefixlens.operators.ordering import row_numbers
 from prefixlens.options import AnalysisOptions
+from prefixlens.sources.tables import spread, written
 
 #: Payload keys that hold the reserved usage object.
 USAGE_KEYS = ("_response_usage",)
@@ -148,7 +149,7 @@ def load_lines(lines: DataFrame, options: AnalysisOptions = AnalysisOptions()) -
     size = F.octet_length("line")
     early = F.when(F.col("line").isNull() | F.col("line").rlike(r"^[ \t\r\f]*$"), F.lit("EmptyLine")).when(size > options.max_payload_bytes, F.lit("RecordTooLarge"))
     marked = lines.select(F.col("input_line").cast("bigint"), "line", early.alias("early"), size.alias("size"))
-    parsed = marked.where(F.col("early").isNull()).select("input_line", "line").mapInArrow(lambda it: _batches(it, load_line), RECORD)
+    parsed = spread(marked.where(F.col("early").isNull()).select("input_line", "line")).mapInArrow(lambda it: _batches(it, load_line), RECORD)
     args = F.when(F.col("early") == "RecordTooLarge", F.create_map(F.lit("bytes"), F.col("size").cast("string"), F.lit("limit"), F.lit(str(options.max_payload_bytes)))).otherwise(F.create_map().cast("map<string,string>"))
     nothing = [F.lit(None).cast(parsed.schema[n].dataType).alias(n) for n in _NAMES[1:-2]]
     skipped = marked.where(F.col("early").isNotNull()).select("input_line", *nothing, F.col("early").alias("skip_code"), args.alias("skip_args"))
@@ -170,7 +171,7 @@ def load_requests(requests: DataFrame, options: AnalysisOptions = AnalysisOption
         return check_record(record)
 
     picked = requests.select(F.col("input_line").cast("bigint"), "captured_at", "source", "session_key", "comparison", "payload")
-    return _budget(picked.mapInArrow(lambda it: _batches(it, load), RECORD), requests, options)
+    return _budget(spread(picked).mapInArrow(lambda it: _batches(it, load), RECORD), requests, options)
 
 
 def _budget(records: DataFrame, lines: DataFrame, options: AnalysisOptions) -> DataFrame:
@@ -188,10 +189,15 @@ def _budget(records: DataFrame, lines: DataFrame, options: AnalysisOptions) -> D
 
 
 def identified(records: DataFrame) -> DataFrame:
-    """Accepted records with request_id: content hash and 0-based occurrence in line order."""
-    accepted = records.where(F.col("skip_code").isNull()).drop("skip_code", "skip_args")
-    numbered = row_numbers(accepted, ["id_hash"], ["input_line"], "_n")
-    return numbered.withColumn("request_id", F.concat("id_hash", F.lit(":"), (F.col("_n") - 1).cast("string"))).drop("_n", "id_hash")
+    """Accepted records with request_id: content hash and 0-based occurrence in line order.
+
+    Only content that repeats is numbered, on narrow rows.
+    """
+    accepted = written(records.where(F.col("skip_code").isNull()).drop("skip_code", "skip_args"), "accepted")
+    narrow = accepted.select("id_hash", "input_line")
+    repeated = narrow.join(narrow.groupBy("id_hash").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("id_hash"), "id_hash")
+    numbers = row_numbers(repeated, ["id_hash"], ["input_line"], "_n").select("input_line", "_n")
+    return accepted.join(numbers, "input_line", "left").withColumn("request_id", F.concat("id_hash", F.lit(":"), F.coalesce(F.col("_n") - 1, F.lit(0)).cast("string"))).drop("_n", "id_hash")
 
 
 def skip_text(phase: str, code: Column, args: Column) -> Column:
