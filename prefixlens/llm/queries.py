@@ -12,7 +12,7 @@ from prefixlens.functions.strings import clean_key
 from prefixlens.functions.times import rfc3339_seconds, utc_day
 from prefixlens.llm import language, leakage, mixing, neardup, quantiles, spans
 from prefixlens.sources import payload as P
-from prefixlens.sources.tables import table, written
+from prefixlens.sources.tables import spread, table, written
 
 #: Problem 1 as stated for these data: three words, 0.6, at least 40 words.
 P1 = {"n": 3, "threshold": "3/5", "min_words": 40}
@@ -31,7 +31,7 @@ def last_user_texts(b: pa.RecordBatch) -> Iterator[tuple[int, str, str]]:
 
 
 def _p1(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
-    requests = table(spark, base, "requests").select("input_line", "payload")
+    requests = spread(table(spark, base, "requests").select("input_line", "payload"))
     return neardup.similarity_join(requests, last_user_texts, **P1)
 
 
@@ -62,7 +62,7 @@ def tool_outputs(b: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
 
 
 def _p2(spark: SparkSession, base: str) -> DataFrame:
-    return spans.find(table(spark, base, "requests").select("input_line", "payload"), tool_outputs, P2_LENGTH)
+    return spans.find(spread(table(spark, base, "requests").select("input_line", "payload")), tool_outputs, P2_LENGTH)
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
@@ -122,7 +122,7 @@ P6_WORDS = 12
 
 
 def p6_leaks(spark: SparkSession, base: str) -> DataFrame:
-    return leakage.find_leaks(table(spark, base, "documents"), table(spark, base, "eval_items"), P6_WORDS)
+    return leakage.find_leaks(spread(table(spark, base, "documents").select("doc_id", "text")), table(spark, base, "eval_items"), P6_WORDS)
 
 
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
@@ -133,6 +133,7 @@ def _p7(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, base, "documents").select(
         "doc_id", "source", F.lower(F.split(clean_key("lang"), "[-_]")[0]).alias("language"), clean_key("endpoint_key").alias("topic"), "text"
     )
+    docs = spread(docs)
     targets = table(spark, base, "mix_targets")
     return mixing.mix(written(mixing.count_tokens(docs), "mixing-tokens"), targets), targets
 
@@ -146,7 +147,7 @@ def p7_shares(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p8_segments(spark: SparkSession, base: str) -> DataFrame:
-    return language.segments(table(spark, base, "documents"), table(spark, base, "lang_samples"))
+    return language.segments(spread(table(spark, base, "documents").select("doc_id", "lang", "text")), table(spark, base, "lang_samples"))
 
 
 def p8_documents(spark: SparkSession, base: str) -> DataFrame:
