@@ -72,7 +72,7 @@ def gram_rows(df: DataFrame, pick: Callable[[pa.RecordBatch], Iterator[tuple[int
 def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members: id, rep; reps: rep, n, grams) of equal sets. ``sets`` is a written table: it is read twice."""
     smallest = sets.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
-    members = sets.select("id", "d1", "d2", "n").join(smallest, ["d1", "d2", "n"]).select("id", "rep").distinct()
+    members = written(sets.select("id", "d1", "d2", "n").join(smallest, ["d1", "d2", "n"]).select("id", "rep").distinct(), "neardup-members")
     reps = sets.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.first("grams").alias("grams")).select("rep", "n", "grams")
     return members, reps
 
