@@ -4,7 +4,8 @@ Lines of logs, code and JSON are set aside. The words of what remains form one c
 features are the word, its affixes, character n-grams, script and the function-word lexicon, and transitions
 between languages are learned with them. Forward-backward gives every word a probability for each language.
 A sentence gets the mean over its words; consecutive sentences of one language form a segment whose
-confidence is the mean over its words; the document's language is the one with most words.
+confidence is the mean over its words; the document's language is the one with most words (a Han character is
+a word).
 
 The field is trained on the driver on a bounded set of labelled samples (``MAX_SAMPLES``) strung together to
 code-switched chains, with accents kept and removed; all documents are labelled whole, vectorised over the
@@ -12,8 +13,8 @@ chains of an Arrow batch. Emissions are computed once per distinct word.
 
 Defined cases: null, empty and wholly technical texts have no segment and no language; a sentence without
 words (numbers, identifiers) belongs to none; a fragment without end mark counts for the document and
-segments but is no sentence; ties go to the first language in sorted order; repeated documents are labelled
-each; languages without samples are never assigned; no samples is an error.
+segments but is no sentence; ties go to the first language in sorted order; rows of one id
+are one document; languages without samples are never assigned; no samples is an error.
 """
 
 from __future__ import annotations
@@ -71,17 +72,21 @@ def same_language(label: str | None, language: str) -> bool:
     return code in known
 
 
-_JSON = re.compile(r"^[{\[].*[}\]],?$|\"[^\"\s]*\"\s*:")
+#: JSON, a position in a source file, a clock time, a duration in brackets, the start of a definition.
+_MARKS = re.compile(r"^[{\[].*[}\]],?$|\"[^\"\s]*\"\s*:|^\S+:\d+(?::\d+)?:\s|^\[?\d{1,4}[-:]\d\d[-:]\d\d\b|\(\d+(?:\.\d+)?\s?m?s\)$|[{}]$|^(?:def|class|const|let|var|function)\s+\w+\s*[(=:{]|^(?:import|from)\s+[\w.]+(?:\s+import\b.*)?$")
 
 
 def technical(line: str) -> bool:
-    """Logs, code and JSON: JSON marks, or less than half of the characters lie in plain words."""
-    if _JSON.search(line):
+    """Logs, code and JSON: telling marks, or few of the characters lie in plain words.
+
+    Less than half, or a third where the line ends like a sentence.
+    """
+    if _MARKS.search(line):
         return True
     total = len(line) - line.count(" ") - line.count("\t")
     if total == 0:
         return True
-    return 2 * sum(len(w) for w in _PLAIN.findall(line)) < total
+    return sum(len(w) for w in _PLAIN.findall(line)) < total / (3 if line[-1] in ".!?。！？" else 2)
 
 
 def prose(text: str) -> Iterator[tuple[int, str]]:

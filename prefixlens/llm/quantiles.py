@@ -45,7 +45,8 @@ def leaf(v: Column) -> Column:
 
 def _bounds(leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Smallest and largest value of each leaf."""
-    code = np.abs(leaves - _ZERO)
+    # leaves beyond the largest 64-bit value stand for it
+    code = np.minimum(np.abs(leaves - _ZERO), (63 - BITS) * _HALF + (1 << BITS) - 1)
     shift = np.maximum(code // _HALF - 1, 0)
     base = code - shift * _HALF
     low = base << shift
@@ -148,7 +149,7 @@ def merge(digests: DataFrame, keys: list[str], k: int = K) -> DataFrame:
     return _compressed(digests.groupBy(*keys, "node").agg(F.sum("w").alias("w")), keys, k)
 
 
-def percentiles(digests: DataFrame, keys: list[str], qs: tuple[float, ...]) -> DataFrame:
+def percentiles(digests: DataFrame, keys: list[str], qs: tuple[float, ...], k: int = K) -> DataFrame:
     """Per group and q: n, the interval [low, high] that holds the exact percentile, and the rank error of high.
 
     The exact q-percentile is the smallest value with at least q of the group's values at or below it.
@@ -160,5 +161,5 @@ def percentiles(digests: DataFrame, keys: list[str], qs: tuple[float, ...]) -> D
     return each.groupBy(*keys, "q", "n").agg(
         F.min(F.when(F.col("may") >= F.col("r"), F.col("low"))).alias("low"),
         F.min(F.when(F.col("sure") >= F.col("r"), F.col("high"))).alias("high"),
-        F.floor(F.lit(DEPTH) * F.col("n") / F.lit(K)).cast("bigint").alias("rank_error"),
+        F.floor(F.lit(DEPTH) * F.col("n") / F.lit(k)).cast("bigint").alias("rank_error"),
     )
