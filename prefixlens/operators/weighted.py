@@ -87,14 +87,16 @@ def _percentiles(packed: DataFrame, ks: list[str], percentiles: tuple[float, ...
     return wide
 
 
-def heavy_keys(df: DataFrame, keys: list[str], share: float) -> DataFrame:
+def heavy_keys(df: DataFrame, keys: list[str], share: float, value: str | None = None) -> DataFrame:
     """Keys that hold at least ``share`` of all rows of df (rows with null keys count in the total).
 
-    Counts combine on the map side, so a key with most of the rows costs its task no more than any other.
-    Columns: keys, n_rows, total_rows. Keys with a null part are not listed.
+    Rows are compressed by (keys, value) first, so that even a key with most of the rows spreads over all
+    tasks, and weights are summed per key. Columns: keys, n_rows, total_rows. Keys with a null part are not
+    listed. ``value`` defaults to the keys themselves.
     """
-    counts = df.groupBy(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("n_rows"))
     ks = [f"k{i}" for i in range(len(keys))]
+    packed = compress(df, keys, value if value is not None else keys[0])
+    counts = packed.groupBy(*ks).agg(F.sum("w").alias("n_rows"))
     total = counts.agg(F.sum("n_rows").alias("total_rows"))
     whole = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in ks])
     # the total is one row

@@ -18,8 +18,8 @@ def _pairs(df: DataFrame, *more: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
-    pairs = _pairs(table(spark, base, "requests"))
-    return weighted.heavy_keys(pairs, ["endpoint_key", "agent_key"], HEAVY_SHARE).select("endpoint_key", "agent_key")
+    pairs = _pairs(table(spark, base, "requests"), "comparison.model_deployment_key")
+    return weighted.heavy_keys(pairs, ["endpoint_key", "agent_key"], HEAVY_SHARE, "model_deployment_key").select("endpoint_key", "agent_key")
 
 
 def p4_pair_stats(spark: SparkSession, base: str) -> DataFrame:

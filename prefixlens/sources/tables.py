@@ -26,16 +26,31 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df once into the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    Unlike checkpoint() the copy is columnar, so later readers fetch only the columns they need.
+    Unlike checkpoint() the copy is columnar, so later readers fetch only the columns they need. The table
+    stays until ``drop_written``, as lazy results read it.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> int:
+    """Delete all tables this process has written; results still reading them are lost. Returns how many."""
+    context = spark.sparkContext
+    n = len(_written)
+    while _written:
+        path = context._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, for stages that work hard on each row.
 

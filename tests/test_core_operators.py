@@ -95,3 +95,19 @@ def test_heavy_keys(spark):
     assert heavy_keys(df, ["e", "a"], 0.021).count() == 1
     assert heavy_keys(df.limit(0), ["e", "a"], 0.02).count() == 0
     assert heavy_keys(df.withColumn("k0", F.lit(1)), ["e"], 0.5).first().e == "a"
+
+
+def test_written_tables(spark, tmp_path):
+    from prefixlens.sources import tables as TB
+
+    df = spark.range(10).selectExpr("id", "id * 2 AS b")
+    back = TB.written(df, "case")
+    assert back.dtypes == df.dtypes and sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    assert TB.shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir").rstrip("/")
+    path = TB._written[-1]
+    held, TB._written[:] = TB._written[:-1], [path]
+    import os
+
+    assert os.path.isdir(path) and TB.drop_written(spark) == 1 and not os.path.exists(path)
+    TB._written[:] = held
+    assert TB.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
