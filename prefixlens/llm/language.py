@@ -12,9 +12,10 @@ code-switched chains, with accents kept and removed; all documents are labelled
 chains of an Arrow batch. Emissions are computed once per distinct word.
 
 Defined cases: null, empty and wholly technical texts have no segment and no language; a sentence without
-words (numbers, identifiers) belongs to none; a fragment without end mark counts for the document and
-segments but is no sentence; ties go to the first language in sorted order; rows of one id
-are one document; languages without samples are never assigned; no samples is an error.
+words (numbers, identifiers) belongs to none; a fragment without end mark is no sentence: one of at least
+``FRAGMENT`` words counts for segments and document, a shorter one goes with the segment before it; ties go
+to the first language in sorted order; rows of one id are one document; languages without samples are never
+assigned; no samples is an error.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from prefixlens.llm.words import hash_text
 
 #: Labelled samples used at most, the smallest sample ids of each language.
 MAX_SAMPLES = 2000
+#: Words from which a piece without end mark counts as a stretch of its own.
+FRAGMENT = 5
 #: Hashed feature space.
 SPACE = 1 << 15
 ROUNDS = 50
@@ -332,7 +335,9 @@ def segments(documents: DataFrame, samples: DataFrame, doc_id: str = "doc_id", t
                     runs: list[list] = []
                     for a, z, whole, n, p in found:
                         best = int(p.argmax())
-                        if runs and runs[-1][0] == best:
+                        if runs and not whole and n < FRAGMENT:
+                            runs[-1][2] = z  # a short quotation or heading does not part two sentences
+                        elif runs and runs[-1][0] == best:
                             r = runs[-1]
                             r[2], r[3], r[4], r[5] = z, r[3] + whole, r[4] + n, r[5] + n * p[best]
                         else:
