@@ -9,8 +9,10 @@ from prefixlens.functions.strings import clean_key
 from prefixlens.functions.times import rfc3339_nanos, rfc3339_seconds, window_start
 from prefixlens.operators import cache, cohort, extract, prefix_view, projection, rank, reuse, session
 from prefixlens.operators.ordering import row_numbers
+from prefixlens.operators.validate import violations
 from prefixlens.options import AnalysisOptions
 from prefixlens.plans.problems import SOUND_SQL, _trim
+from prefixlens.report import tables as report
 from prefixlens.sources import records as R
 from prefixlens.sources.tables import table, written
 
@@ -156,11 +158,56 @@ def reuse_requests(spark: SparkSession, base: str) -> DataFrame:
     return reuse.requests_with_gain(reuse.event_potential(session.session_events(seqs), potential))
 
 
+def _session_table(spark: SparkSession, base: str) -> DataFrame:
+    events = written(_events(spark, base), "events")
+    return report.sessions({"session_events": events, "session_reports": session.session_reports(events)})
+
+
+def session_attention(spark: SparkSession, base: str) -> DataFrame:
+    """Sessions with context refreshes, as the report lists them."""
+    return report.attention(_session_table(spark, base))
+
+
+def session_overview(spark: SparkSession, base: str) -> DataFrame:
+    return report.session_overview(_session_table(spark, base))
+
+
+def reuse_gauge(spark: SparkSession, base: str) -> DataFrame:
+    return report.reuse_gauge(prefix_reuse_total(spark, base))
+
+
+def cross_check(spark: SparkSession, base: str) -> DataFrame:
+    """Sessions whose structural reuse differs most from the hit rate they report."""
+    records = written(R.identified(_loaded(spark, base)), "records")
+    events = session.session_events(projection.sequences(written(projection.project(records, OPTIONS), "projected")))
+    return report.cross_check(reuse.by_session(reuse.event_potential(events, None)), cache.cache_metrics(records))
+
+
+def template_totals(spark: SparkSession, base: str) -> DataFrame:
+    return report.template_totals(prefix_nodes(spark, base))
+
+
+def decay(spark: SparkSession, base: str) -> DataFrame:
+    """Members left along each template's chain."""
+    return report.decay(prefix_nodes(spark, base))
+
+
+def integrity(spark: SparkSession, base: str) -> DataFrame:
+    """Violated integrity rules of the analysis; none are expected."""
+    seqs, _, found = _templates(spark, base)
+    found = written(found, "templates")
+    ranked = written(rank.scored(rank.unique_defects(rank.candidates(found))), "defects")
+    events = written(session.session_events(seqs), "events")
+    relations = {"templates": found.where("limitation IS NULL"), "defects": ranked, "top_k": rank.top_k(ranked, OPTIONS.top_k), "prefix_nodes": prefix_view.prefix_nodes(found, ranked, OPTIONS), "session_events": events, "session_reports": session.session_reports(events)}
+    return violations(relations, OPTIONS.top_k)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         line_skips, request_ids, unit_projection, unit_counts, projection_skips, domain_windows, cache_metrics_reported, usage_by_session, cache_metrics_estimated, session_turns,
         session_events, session_reports, prefix_reuse_total, prefix_reuse_by_session, tool_overlap, cohorts, templates, bindings, defects, top_defects, prefix_nodes, reuse_requests,
+        session_attention, session_overview, reuse_gauge, cross_check, template_totals, decay, integrity,
     )
 }
 

@@ -59,3 +59,13 @@ def test_rfc3339(spark):
     assert [r.n for r in nanos.collect()] == [123456789, 500000000, None]
     w = spark.createDataFrame([(-1,), (0,), (3599,), (3600,)], "s long").select(T.window_start(F.col("s"), 3600).alias("w"), T.utc_day(F.col("s")).alias("d"))
     assert [(r.w, r.d) for r in w.collect()] == [(-3600, "1969-12-31"), (0, "1970-01-01"), (0, "1970-01-01"), (3600, "1970-01-01")]
+
+
+def test_registered_functions(spark):
+    from prefixlens.functions.register import register
+
+    assert "canonical_json" in register(spark)
+    row = spark.sql("""
+        SELECT canonical_json('{"b": 1.50, "a": [1]}') AS c, canonical_json('x') AS n, loose_json('cfg: {"a": 1}') AS l, byte_lcp('né1', 'né2') AS p, fnv1a64('') AS f,
+               text_similarity('abcde', 'abcdf') AS s, text_similarity_bottom_k('abcd', NULL) AS z""").first()
+    assert (row.c, row.n, row.l.label, row.l.json, row.p, row.f, row.s, row.z) == ('{"a":[1],"b":1.5}', None, "cfg: ", '{"a":1}', 3, 0xCBF29CE484222325 - 2**64, 0.5, None)
