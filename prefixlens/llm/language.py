@@ -93,20 +93,27 @@ def technical(line: str) -> bool:
 
 
 def prose(text: str) -> Iterator[tuple[int, str]]:
-    """(start, text) of the stretches of running text: fenced and technical lines are left out."""
+    """(start, text) of the stretches of running text: fenced and technical lines are left out.
+
+    A heading is a stretch of its own, without its marker.
+    """
     at, start, fenced = 0, -1, False
     for line in text.split("\n"):
         bare = line.strip()
-        if bare.startswith(("```", "~~~")):
+        heading = bare.startswith("# ")
+        if heading:
+            bare = bare[2:].lstrip()
+        if not heading and bare.startswith(("```", "~~~")):
             fenced, stop = not fenced, True
         else:
             # a long line that ends like a sentence needs no closer look
-            stop = fenced or not bare or bare.startswith("# ") or ((len(bare) < 200 or bare[-1] not in ".!?。！？" or bare[0] in "{[") and technical(bare))
-        if stop:
-            if start >= 0:
-                yield start, text[start : at - 1]
-                start = -1
-        elif start < 0:
+            stop = fenced or not bare or ((len(bare) < 200 or bare[-1] not in ".!?。！？" or bare[0] in "{[") and technical(bare))
+        if (stop or heading) and start >= 0:
+            yield start, text[start : at - 1]
+            start = -1
+        if heading and not stop:
+            yield at + len(line.rstrip()) - len(bare), bare
+        elif not stop and start < 0:
             start = at
         at += len(line) + 1
     if start >= 0:

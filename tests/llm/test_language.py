@@ -48,6 +48,12 @@ def test_technical_and_sentences():
     assert list(L.sentences("")) == [] and list(L.sentences("12 34. 5")) == []
 
 
+def test_text_on_the_line_of_a_heading():
+    text = " # Kade-33 De ontvanger zet het kenmerk voor de vaste tekst. Het venster weigert lege sleutels zonder uitleg. \nThe session is short.\n# Kade-34\n```\n# A comment. In code.\n```"
+    got = [(text[a:b], whole) for a, b, whole, _ in L.sentences(text)]
+    assert got == [("Kade-33 De ontvanger zet het kenmerk voor de vaste tekst.", True), ("Het venster weigert lege sleutels zonder uitleg.", True), ("The session is short.", True)]
+
+
 @pytest.fixture(scope="module")
 def samples(spark):
     if not os.path.exists(DATA):
