@@ -8,8 +8,9 @@ so a source falls short only if all its documents at full repetition do. Documen
 cell's weight as calibrated probability: the whole part as copies, the fraction by systematic sampling in
 order of size, which keeps a cell's tokens within one document of its expectation.
 
-Only the cells come to the driver. Their number is bounded: languages and topics holding less than 1 / the
-bound of all tokens share one cell value, sources are those with targets.
+Every language and topic is fitted. Up to ``CELLS`` observed cells are raked on the driver; more of them stay a
+table, raked by the same rounds as joins. A source's cells are drawn from in one chain, each going on at the
+fraction where the one before ended, so that many small cells do not add up their roundings.
 
 Defined cases: documents of other or null sources are left out; a null or blank language or topic is a value
 of its own; empty texts have no tokens and are left out; a repeated document is another document; a
@@ -27,12 +28,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefixlens.functions.strings import unicode_trim
+from prefixlens.sources.tables import drop_written, last_written, written
 
 #: Public byte-level BPE vocabulary as ranks, and the pattern that splits text before it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LANGUAGES, TOPICS = 100, 100
-#: Documents of one cell that one task orders.
+#: Cells raked on the driver and broadcast; beyond, both are joins.
+CELLS = 100_000
+#: Documents of one cell, or cells of one chain, that one task orders.
 DRAW_ROWS = 200_000
 _encoders: dict[str, object] = {}
 
@@ -69,15 +72,6 @@ def source_name(c: Column) -> Column:
     return F.regexp_replace(F.lower(unicode_trim(c)), r"[\s_\-]+", "_")
 
 
-def _limited(df: DataFrame, column: str, most: int) -> DataFrame:
-    """Values of ``column`` with less than 1/most of the tokens become one; at most ``most`` are left."""
-    sums = df.groupBy(column).agg(F.sum("tokens").alias("_t"))
-    large = sums.join(F.broadcast(sums.agg(F.sum("_t").alias("_all")))).where(F.col("_t") * most >= F.col("_all")).select(F.col(column).alias("_v"))
-    # at most ``most`` rows, by arithmetic
-    joined = df.join(F.broadcast(large.withColumn("_is", F.lit(True))), F.col(column).eqNullSafe(F.col("_v")), "left")
-    return joined.withColumn(column, F.when(F.col("_is"), F.coalesce(column, F.lit("(none)"))).otherwise(F.lit("(other)"))).drop("_v", "_is")
-
-
 def rake(cells: np.ndarray, tokens: np.ndarray, targets: dict[int, float], caps: dict[int, float], total: float, rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
     """Weights of cells (rows of codes, source first) fitted to the marginals under the caps."""
     source = cells[:, 0]
@@ -117,12 +111,50 @@ def rake(cells: np.ndarray, tokens: np.ndarray, targets: dict[int, float], caps:
     return w
 
 
+def rake_table(cells: DataFrame, targets: dict[str, float], caps: dict[str, float], total: float, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
+    """``cells`` (source, language, topic, tokens, ...) with their weight: rake() without cells on the driver."""
+    spark = cells.sparkSession
+    by_source = lambda values: F.create_map(*[F.lit(x) for s, v in values.items() for x in (s, float(v))])[F.col("source")]
+    held = F.col("weight") * F.col("tokens")
+    every = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    at = cells.withColumn("_cap", by_source(caps)).withColumn("weight", F.least(F.lit(total / max(every, 1)), "_cap"))
+    wanted = {d: written(cells.groupBy(d).agg((F.sum("tokens") / every * total).alias("_goal")), "mixing-goals") for d in ("language", "topic")}
+    last = None
+    for _ in range(rounds):
+        step = at.withColumn("_before", F.col("weight"))
+        for d, goal in wanted.items():
+            have = step.groupBy(d).agg(F.sum(held).alias("_have"))
+            ratio = goal.join(have, d).select(d, F.when(F.col("_have") > 0, F.col("_goal") / F.col("_have")).otherwise(1.0).alias("_ratio"))
+            step = step.join(ratio, d).withColumn("weight", F.least(F.col("weight") * F.col("_ratio"), "_cap")).drop("_ratio")
+        step, before = written(step, "mixing-round"), last
+        last = last_written()
+        scale = {s: 1.0 for s in targets}
+        for _ in range(64):
+            scaled = F.when(F.col("weight") < F.col("_cap"), F.least(F.col("weight") * by_source(scale), "_cap")).otherwise(F.col("weight"))
+            free = scaled < F.col("_cap")
+            sums = step.groupBy("source").agg(F.sum(F.when(free, 0.0).otherwise(scaled * F.col("tokens"))).alias("full"), F.sum(F.when(free, scaled * F.col("tokens")).otherwise(0.0)).alias("have")).collect()  # a row per source
+            open_ = [r for r in sums if r.have > 0 and abs(r.full + r.have - targets[r.source] * total) > tolerance * total]
+            if not open_:
+                break
+            for r in open_:
+                scale[r.source] *= max(targets[r.source] * total - r.full, 0) / r.have
+        scaled = F.when(F.col("weight") < F.col("_cap"), F.least(F.col("weight") * by_source(scale), "_cap")).otherwise(F.col("weight"))
+        step = step.withColumn("weight", scaled)
+        moved, most = step.agg(F.max(F.abs(F.col("weight") - F.col("_before"))), F.max("weight")).first()
+        at = step.drop("_before")
+        if before:
+            drop_written(spark, [before])
+        if (moved or 0) <= tolerance * max(1.0, most or 0):
+            break
+    return at.drop("_cap")
+
+
 def reachable_total(tokens: dict[int, float], targets: dict[int, float], caps: dict[int, float]) -> float:
     """The largest total at which every source that has documents meets its share."""
     return min((tokens[s] * caps[s] / t for s, t in targets.items() if t > 0 and tokens.get(s, 0) > 0), default=0.0)
 
 
-def mix(counted: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 17) -> DataFrame:
+def mix(counted: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 17, most_cells: int = CELLS) -> DataFrame:
     """Chosen documents: doc_id, source, tokens, weight, copies (at least 1).
 
     ``counted``: doc_id, source, language, topic, tokens, as a written table; it is read several times.
@@ -133,21 +165,33 @@ def mix(counted: DataFrame, targets: DataFrame, total: float | None = None, seed
     code = {r.source: i for i, r in enumerate(rows)}
     goals, caps = {i: r.target_share for i, r in enumerate(rows)}, {i: float(r.max_repeats) for i, r in enumerate(rows)}
     docs = counted.withColumn("source", source_name(F.col("source"))).where(F.col("source").isin(list(code)) & (F.col("tokens") > 0))
-    docs = _limited(_limited(docs, "language", LANGUAGES), "topic", TOPICS)
-    cells = docs.groupBy("source", "language", "topic").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).orderBy("source", "language", "topic").toPandas()
-    number = lambda s: s.astype("category").cat.codes.to_numpy()
-    codes = np.column_stack([cells["source"].map(code).to_numpy(dtype=int), number(cells["language"]), number(cells["topic"])]) if len(cells) else np.zeros((0, 3), int)
-    tokens = cells["tokens"].to_numpy(dtype=float)
-    have = {i: tokens[codes[:, 0] == i].sum() for i in code.values()}
-    weights = rake(codes, tokens, goals, caps, reachable_total(have, goals, caps) if total is None else float(total))
-    cells = cells.assign(weight=weights, parts=np.maximum(1, -(-cells["docs"].to_numpy(dtype=np.int64) // DRAW_ROWS)))[["source", "language", "topic", "weight", "parts"]]
-    table = spark.createDataFrame(cells, "source string, language string, topic string, weight double, parts bigint")
+    # no key holds this character alone
+    docs = docs.withColumns({c: F.coalesce(c, F.lit("\0")) for c in ("language", "topic")})
     key = ["source", "language", "topic"]
-    # at most sources x LANGUAGES x TOPICS rows
-    weighted = docs.join(F.broadcast(table), key).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("parts")))
-    order = Window.partitionBy(*key, "part").orderBy("tokens", "doc_id")
+    cells = written(docs.groupBy(*key).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "mixing-cells")
+    sums = {r.source: (r.tokens, r.cells) for r in cells.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("cells")).collect()}  # a row per source
+    n = sum(c for _, c in sums.values())
+    if total is None:
+        total = reachable_total({code[s]: float(t) for s, (t, _) in sums.items()}, goals, caps)
+    few = n <= most_cells
+    if few:
+        local = cells.orderBy(*key).toPandas()  # at most ``most_cells`` rows
+        number = lambda s: s.astype("category").cat.codes.to_numpy().astype(int)
+        codes = np.column_stack([local["source"].map(code).to_numpy(dtype=int), number(local["language"]), number(local["topic"])]) if n else np.zeros((0, 3), int)
+        local = local.assign(weight=rake(codes, local["tokens"].to_numpy(dtype=float), goals, caps, float(total)))
+        table = spark.createDataFrame(local, "source string, language string, topic string, tokens bigint, docs bigint, weight double")
+    else:
+        table = rake_table(cells, {s: goals[i] for s, i in code.items()}, {s: caps[i] for s, i in code.items()}, float(total))
+    hashed = lambda *c: (F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     fraction = F.col("weight") - F.floor("weight")
-    phase = (F.pmod(F.xxhash64(*key, "part", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    chain = Window.partitionBy("source", "_chain").orderBy("language", "topic").rowsBetween(Window.unboundedPreceding, -1)
+    ends = hashed("source", "_chain") + F.coalesce(F.sum(F.col("docs") * fraction).over(chain), F.lit(0.0))
+    table = table.withColumn("_chain", F.pmod(F.xxhash64(*key), F.lit(max(1, -(-n // DRAW_ROWS))))).withColumn("_phase", ends - F.floor(ends))
+    table = table.select(*key, "weight", "_phase", F.greatest(F.lit(1), F.ceil(F.col("docs") / DRAW_ROWS)).cast("bigint").alias("parts"))
+    weighted = docs.join(F.broadcast(table) if few else table, key).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("parts")))
+    order = Window.partitionBy(*key, "part").orderBy("tokens", "doc_id")
+    # the parts of a large cell start on their own
+    phase = F.when(F.col("parts") == 1, F.col("_phase")).otherwise(hashed(*key, "part"))
     drawn = weighted.withColumn("_n", F.row_number().over(order)).withColumn("copies", (F.floor("weight") + F.floor(F.col("_n") * fraction + phase) - F.floor((F.col("_n") - 1) * fraction + phase)).cast("bigint"))
     return drawn.where("copies > 0").select("doc_id", "source", "tokens", "weight", "copies")
 

@@ -41,14 +41,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession) -> int:
-    """Delete all tables this process has written; results still reading them are lost. Returns how many."""
+def last_written() -> str:
+    """The path of the table written last."""
+    return _written[-1]
+
+
+def drop_written(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete all tables this process has written, or these; results still reading them are lost. Returns how many."""
     context = spark.sparkContext
-    n = len(_written)
-    while _written:
-        path = context._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    gone = list(_written if paths is None else paths)
+    for p in gone:
+        _written.remove(p)
+        path = context._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    return len(gone)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -54,6 +54,32 @@ def test_marginals_are_kept(spark):
     assert abs(sum(after.values()) - 100_000) < 1500
 
 
+def many_topics(spark):
+    """200 topics of equal size, the even ones mostly in one source, the odd ones in the other."""
+    rnd = random.Random(3)
+    rows = [(i, "big" if (rnd.random() < 0.8) == (i % 2 == 0) else "small", None, f"t{i % 200}", rnd.randint(50, 100)) for i in range(12_000)]
+    targets = spark.createDataFrame([("big", 0.7, 2), ("small", 0.3, 2)], "source string, target_share double, max_repeats long")
+    return spark.createDataFrame(rows, "doc_id long, source string, language string, topic string, tokens long"), targets
+
+
+def test_small_topics_keep_their_share(spark):
+    d, targets = many_topics(spark)
+    got = M.mix(d, targets, 400_000.0).groupBy((F.col("doc_id") % 2).alias("odd")).agg(F.sum(F.col("tokens") * F.col("copies")).alias("t")).collect()
+    share = {r.odd: r.t / sum(x.t for x in got) for r in got}
+    assert abs(share[0] - d.where("doc_id % 2 = 0").agg(F.sum("tokens")).first()[0] / d.agg(F.sum("tokens")).first()[0]) < 0.01
+
+
+def test_raking_tables_equals_raking_arrays(spark):
+    d, _ = many_topics(spark)
+    cells = d.withColumn("language", F.concat(F.lit("l"), F.col("doc_id") % 7)).where("doc_id < 300").groupBy("source", "language", "topic").agg(F.sum("tokens").alias("tokens"))
+    local = cells.orderBy("source", "language", "topic").toPandas()
+    codes = np.column_stack([local[c].astype("category").cat.codes.to_numpy().astype(int) for c in ("source", "language", "topic")])
+    total = float(local["tokens"].sum())
+    want = M.rake(codes, local["tokens"].to_numpy(dtype=float), {0: 0.7, 1: 0.3}, {0: 1.5, 1: 1.3}, total, rounds=3)
+    got = M.rake_table(cells, {"big": 0.7, "small": 0.3}, {"big": 1.5, "small": 1.3}, total, rounds=3).orderBy("source", "language", "topic").toPandas()
+    assert np.allclose(got["weight"], want) and (want >= 1.5 - 1e-12).any()
+
+
 def test_edges(spark):
     targets = spark.createDataFrame(TARGETS + [("absent", 0.0, 1)], "source string, target_share double, max_repeats long")
     d = docs(spark, {"big": 20})
