@@ -6,8 +6,9 @@
 * ``session_turns`` keeps, per session, the last request's unit fingerprints and emits each turn's event.
   Rows wait until the watermark has passed them and leave in (instant, line) order; a row behind the
   watermark goes out marked late. Batch stays the authority; on data in order both agree.
-* ``close_windows`` runs the batch analysis of whole windows in foreachBatch: windows never compare with
-  each other, so that is exact.
+* ``close_windows`` runs the batch analysis of whole windows in foreachBatch: arrived records wait in a table
+  until the watermark has passed their window's end. Windows never compare with each other, so cohorts,
+  templates and defects are those of the batch; sessions that go on in another window are seen in parts.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from prefixlens.functions.times import rfc3339_nanos, rfc3339_seconds
+from prefixlens.functions.times import rfc3339_nanos, rfc3339_seconds, window_start
+from prefixlens.operators.ordering import row_numbers
 from prefixlens.operators.projection import CONTENT_KINDS, project
 from prefixlens.options import AnalysisOptions
 from prefixlens.sources import records as R
@@ -108,6 +110,49 @@ def session_turns(records: DataFrame, options: AnalysisOptions = AnalysisOptions
     return slim.groupBy("session_key").applyInPandasWithState(step, TURN, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def close_windows(records: DataFrame, analyse: Callable[[DataFrame, int], None], checkpoint: str):
-    """Start a query that hands each micro-batch of loaded records to ``analyse`` (batch pipeline, batch id)."""
-    return records.writeStream.foreachBatch(lambda df, epoch: analyse(df, epoch)).option("checkpointLocation", checkpoint).start()
+def close_windows(records: DataFrame, analyse: Callable[[DataFrame, int], None], checkpoint: str, options: AnalysisOptions = AnalysisOptions(), delay: str = "10 minutes", late: Callable[[DataFrame, int], None] | None = None):
+    """Start a query that hands loaded records to ``analyse`` (batch pipeline, batch id), each window whole.
+
+    A window is handed over once, when the watermark (latest event less ``delay``) has passed its end; records
+    of windows handed over before go to ``late``. Skips and records without a valid time belong to no window
+    and go out with their batch, which may so hold nothing to analyse. A batch that is repeated after a failure
+    hands over the same rows. Waiting records and watermarks are kept in the checkpoint folder.
+    """
+    spark, width, base = records.sparkSession, options.comparison_window_seconds, f"{checkpoint}/windows"
+    wait = spark.range(1).select(F.expr(f"unix_seconds(timestamp_seconds(0) + INTERVAL {delay})")).first()[0]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def step(df: DataFrame, epoch: int) -> None:
+        session = df.sparkSession
+        seconds = rfc3339_seconds("captured_at")
+        window = F.when(F.col("skip_code").isNull(), window_start(seconds, width))
+        df.withColumns({"_at": seconds, "_window": window}).write.mode("overwrite").partitionBy("_window").parquet(f"{base}/arrived/_epoch={epoch}")
+        schema = f"{R.RECORD}, _at bigint, _epoch bigint, _window bigint"
+        arrived = session.read.schema(schema).option("basePath", f"{base}/arrived").parquet(f"{base}/arrived")
+        marks = session.read.schema("mark bigint, _epoch bigint").parquet(f"{base}/marks").where(F.col("_epoch") < epoch) if files.exists(path(f"{base}/marks")) else None
+        before = marks.agg(F.max("mark")).first()[0] if marks is not None else None
+        newest = arrived.where((F.col("_epoch") == epoch) & F.col("_window").isNotNull()).agg(F.max("_at")).first()[0]
+        mark = max((m for m in (before, None if newest is None else newest - wait) if m is not None), default=None)
+        session.createDataFrame([(mark,)], "mark bigint").write.mode("overwrite").parquet(f"{base}/marks/_epoch={epoch}")
+        end = F.col("_window") + width
+        gone = F.lit(False) if before is None else F.coalesce(end <= before, F.lit(False))
+        closed = F.lit(False) if mark is None else F.coalesce(end <= mark, F.lit(False)) & ~gone
+        # streamed line numbers may repeat; in a window each record has its own
+        whole = row_numbers(arrived.where((F.col("_epoch") <= epoch) & closed), [], ["_epoch", "input_line", "captured_at", "id_hash"], "_n").withColumn("input_line", F.col("_n").cast("bigint"))
+        at_once = arrived.where((F.col("_epoch") == epoch) & F.col("_window").isNull())
+        names = df.columns
+        out = whole.select(names).unionByName(at_once.select(names))
+        if not out.isEmpty():
+            analyse(out, epoch)
+        behind = arrived.where((F.col("_epoch") == epoch) & gone).select(names)
+        if late is not None and not behind.isEmpty():
+            late(behind, epoch)
+        # what earlier batches have handed over; this one's may be asked for again
+        for folder in files.globStatus(path(f"{base}/arrived/_epoch=*/_window=*")) or []:
+            name = folder.getPath().getName().split("=")[1]
+            old = int(folder.getPath().getParent().getName().split("=")[1]) < epoch
+            if old and (not name.lstrip("-").isdigit() or (before is not None and int(name) + width <= before)):
+                files.delete(folder.getPath(), True)
+
+    return records.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()

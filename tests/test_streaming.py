@@ -1,9 +1,10 @@
 import json
 
-from tests.families import frame, line
+from tests.families import TAIL, frame, line, system
 
 from prefixlens.operators import projection as PJ
 from prefixlens.operators import session as S
+from prefixlens.plans.pipeline import analyse_file, analyse_loaded
 from prefixlens.sources import records as R
 from prefixlens.streaming import live
 
@@ -42,3 +43,26 @@ def test_turns_windows_and_late_rows(spark, tmp_path):
     finally:
         for q in queries:
             q.stop()
+
+
+def test_a_window_over_two_files_is_analysed_whole(spark, tmp_path):
+    at = lambda hour, i: json.dumps({**json.loads(line(system(f"run id {i}{i}{i}", TAIL))), "captured_at": f"2026-01-01T{hour:02d}:0{i}:00Z"})
+    whole = [at(1, i) for i in range(4)]
+    (tmp_path / "all.ndjson").write_text("\n".join(whole) + "\n")
+    batch = analyse_file(spark, str(tmp_path / "all.ndjson"))
+    relations = lambda a: (sorted((r.cohort_id, r.request_id) for r in a.cohorts.collect()), sorted(map(str, a.defects.collect())))
+    want = relations(batch)
+    assert len(want[0]) == 4
+    folder, got, behind = tmp_path / "landing", [], []
+    folder.mkdir()
+    (folder / "1.ndjson").write_text("\n".join(whole[:2]) + "\n")
+    loaded = live.load(live.stream_lines(spark, str(folder), 1))
+    q = live.close_windows(loaded, lambda df, epoch: got.append((epoch, relations(analyse_loaded(df)))), str(tmp_path / "check"), late=lambda df, epoch: behind.append((epoch, df.count())))
+    try:
+        q.processAllAvailable()
+        for name, lines in (("2", whole[2:]), ("3", [at(3, 0)]), ("4", [at(1, 5), at(3, 1)])):
+            (folder / f"{name}.ndjson").write_text("\n".join(lines) + "\n")
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    assert got == [(2, want)] and behind == [(3, 1)]
