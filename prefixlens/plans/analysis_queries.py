@@ -16,7 +16,8 @@ from prefixlens.report import tables as report
 from prefixlens.sources import records as R
 from prefixlens.sources.tables import table, written
 
-OPTIONS = AnalysisOptions()
+#: The tables are taken whole, whatever their number of records.
+OPTIONS = AnalysisOptions(max_records=(1 << 63) - 1)
 
 
 def _loaded(spark: SparkSession, base: str) -> DataFrame:
