@@ -26,12 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefixlens.llm.words import hash_text
 
-#: Labelled samples used at most, the smallest sample ids of each language.
+#: Labelled samples used at most, the smallest sample ids of each language in turn.
 MAX_SAMPLES = 2000
 #: Words from which a piece without end mark counts as a stretch of its own.
 FRAGMENT = 5
@@ -328,7 +328,11 @@ SEGMENTS = "doc_id bigint, label string, segment bigint, language string, confid
 
 def segments(documents: DataFrame, samples: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", sample_lang: str = "lang", sample_text: str = "text", sample_id: str = "sample_id", max_samples: int = MAX_SAMPLES) -> DataFrame:
     """Stretches of one language of every document, in order: SEGMENTS. Positions are characters, end exclusive."""
-    rows = samples.where(F.col(sample_lang).isNotNull() & F.col(sample_text).isNotNull()).orderBy(sample_id).select(sample_lang, sample_text).limit(max_samples).collect()
+    labelled = samples.where(F.col(sample_lang).isNotNull() & F.col(sample_text).isNotNull())
+    most = max(max_samples, labelled.select(sample_lang).distinct().count())  # every language has one at least
+    place = F.row_number().over(Window.partitionBy(sample_lang).orderBy(sample_id))
+    first = labelled.withColumn("_n", place).where(F.col("_n") <= most).orderBy("_n", sample_lang).limit(most)
+    rows = first.orderBy(sample_id).select(sample_lang, sample_text).collect()
     sent = documents.sparkSession.sparkContext.broadcast(ChainField.train([tuple(r) for r in rows]))  # SPACE x languages numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -102,3 +102,14 @@ def test_documents(spark, samples):
     assert L.segments(df.limit(0), samples).count() == 0
     with pytest.raises(ValueError):
         L.segments(df, samples.limit(0))
+
+
+def test_samples_of_every_language_are_taken(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L.ChainField, "train", lambda rows: seen.append(rows) or L.ChainField(["en"], np.zeros((L.SPACE, 1)), np.zeros((1, 1))))
+    rows = [(i, "en" if i < 5 else "de" if i < 9 else "fr", f"t{i}") for i in range(10)]
+    samples = spark.createDataFrame(rows, "sample_id long, lang string, text string")
+    documents = spark.createDataFrame([], "doc_id long, lang string, text string")
+    for most in (5, 2, 100):
+        L.segments(documents, samples, max_samples=most)
+    assert [[t for _, t in s] for s in seen] == [["t0", "t1", "t5", "t6", "t9"], ["t0", "t5", "t9"], [f"t{i}" for i in range(10)]]
