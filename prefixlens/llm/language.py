@@ -106,8 +106,7 @@ def prose(text: str) -> Iterator[tuple[int, str]]:
         if not heading and bare.startswith(("```", "~~~")):
             fenced, stop = not fenced, True
         else:
-            # a long line that ends like a sentence needs no closer look
-            stop = fenced or not bare or ((len(bare) < 200 or bare[-1] not in ".!?。！？" or bare[0] in "{[") and technical(bare))
+            stop = fenced or not bare or technical(bare)
         if (stop or heading) and start >= 0:
             yield start, text[start : at - 1]
             start = -1

@@ -113,3 +113,8 @@ def test_samples_of_every_language_are_taken(spark, monkeypatch):
     for most in (5, 2, 100):
         L.segments(documents, samples, max_samples=most)
     assert [[t for _, t in s] for s in seen] == [["t0", "t1", "t5", "t6", "t9"], ["t0", "t5", "t9"], [f"t{i}" for i in range(10)]]
+
+
+def test_long_technical_lines_are_set_aside():
+    log = "12:00:01 INFO window closed after " + "the next turn of the same session " * 6 + "ended."
+    assert len(log) >= 200 and list(L.sentences(log)) == [] and list(L.sentences(log[:60] + ".")) == []
