@@ -159,7 +159,7 @@ def features(word: str, shown: int = WHOLE) -> list[int]:
         return []
     if "㐀" <= word[0] <= "鿿":
         return [hash_text(f) % SPACE for f in ("script:han", *(("w:" + word,) if shown == WHOLE else ()))]
-    padded = f"^{word[:40]}$"
+    padded = f"^{word}$"
     names = {padded[i : i + n] for n in (2, 3, 4) for i in range(len(padded) - n + 1)}
     names |= {f"{side}:{part}" for n in (1, 2, 3) if len(word) > n for side, part in (("p", word[:n]), ("s", word[-n:]))}
     names |= {f"c:{c}" for c in word if not c.isascii()}

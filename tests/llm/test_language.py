@@ -118,3 +118,7 @@ def test_samples_of_every_language_are_taken(spark, monkeypatch):
 def test_long_technical_lines_are_set_aside():
     log = "12:00:01 INFO window closed after " + "the next turn of the same session " * 6 + "ended."
     assert len(log) >= 200 and list(L.sentences(log)) == [] and list(L.sentences(log[:60] + ".")) == []
+
+
+def test_long_words_have_the_ngrams_of_their_end():
+    assert L.hash_text("qzk") % L.SPACE in L.features("x" * 40 + "qzk")
