@@ -11,7 +11,6 @@ from prefixlens.operators import cache, cohort, extract, prefix_view, projection
 from prefixlens.operators.ordering import row_numbers
 from prefixlens.operators.validate import violations
 from prefixlens.options import AnalysisOptions
-from prefixlens.plans.problems import SOUND_SQL, _trim
 from prefixlens.report import tables as report
 from prefixlens.sources import records as R
 from prefixlens.sources.tables import table, written
@@ -49,7 +48,7 @@ def request_ids(spark: SparkSession, base: str) -> DataFrame:
 
 
 def unit_projection(spark: SparkSession, base: str) -> DataFrame:
-    return projection.unit_rows(projection.sequences(_projected(spark, base)))
+    return projection.unit_rows(projection.sequences(_projected(spark, base))).drop("fp")
 
 
 def unit_counts(spark: SparkSession, base: str) -> DataFrame:
@@ -106,7 +105,7 @@ def session_reports(spark: SparkSession, base: str) -> DataFrame:
 
 def prefix_reuse_total(spark: SparkSession, base: str) -> DataFrame:
     events = written(_events(spark, base), "events")
-    return reuse.summary(reuse.by_session(reuse.event_potential(events, None)), session.session_reports(events))
+    return reuse.summary(reuse.by_session(reuse.event_potential(events, None)), session.session_reports(events)).withColumn("new_content_bytes", F.col("composition.new_content_bytes")).drop("composition")
 
 
 def prefix_reuse_by_session(spark: SparkSession, base: str) -> DataFrame:
@@ -166,7 +165,8 @@ def _session_table(spark: SparkSession, base: str) -> DataFrame:
 
 def session_attention(spark: SparkSession, base: str) -> DataFrame:
     """Sessions with context refreshes, as the report lists them."""
-    return report.attention(_session_table(spark, base))
+    first = F.col("first_refresh")
+    return report.attention(_session_table(spark, base)).withColumns({"first_refresh_from": first["previous_sequence"], "first_refresh_to": first["next_sequence"]}).drop("first_refresh")
 
 
 def session_overview(spark: SparkSession, base: str) -> DataFrame:
@@ -211,82 +211,3 @@ QUERIES = {
         session_attention, session_overview, reuse_gauge, cross_check, template_totals, decay, integrity,
     )
 }
-
-_RFC = r"(\d{4})-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])[Tt]([01]\d|2[0-3]):([0-5]\d):([0-5]\d|60)(\.\d+)?([Zz]|[+-]([01]\d|2[0-3]):[0-5]\d)"
-_INSTANT = f"CASE WHEN regexp_full_match(captured_at, '{_RFC}') THEN try_cast(captured_at AS TIMESTAMPTZ) END"
-_NANOS = (
-    f"CASE WHEN regexp_full_match(captured_at, '{_RFC}') THEN epoch_us(try_cast(regexp_replace(captured_at, '\\.\\d+', '') AS TIMESTAMPTZ))::HUGEINT * 1000 "
-    "+ coalesce(rpad(substr(regexp_extract(captured_at, '\\.(\\d+)', 1), 1, 9), 9, '0')::BIGINT, 0) END"
-)
-
-
-def _bad(path: str, column: str) -> str:
-    """Whether an optional key is present but no string, and whether it is blank."""
-    return f"json_type(j, '{path}') NOT IN ('NULL', 'VARCHAR')" if column == "type" else f"json_type(j, '{path}') = 'VARCHAR' AND {_trim(f'''(j->>'{path}')''')} IS NULL"
-
-
-_KEYS = ("agent_key", "model_deployment_key", "kv_namespace")
-_KEY_RULES = " ".join(f"WHEN {_bad(f'$.comparison.{k}', 'type')} THEN 'InvalidComparisonKey' WHEN {_bad(f'$.comparison.{k}', 'blank')} THEN 'EmptyComparisonKey'" for k in _KEYS)
-_KEY_FIELDS = " ".join(f"WHEN {_bad(f'$.comparison.{k}', 'type')} OR ({_bad(f'$.comparison.{k}', 'blank')}) THEN '{k}'" for k in _KEYS)
-#: Requests that load, and of these the ones that project, with the model and the trimmed session.
-_PROJECTABLE = f"""
-{SOUND_SQL},
-loads AS (SELECT input_line, {_trim('r.session_key')} AS session_key, captured_at FROM requests r
-          WHERE {_trim('comparison.endpoint_key')} IS NOT NULL AND json_valid(payload) AND json_type(CASE WHEN json_valid(payload) THEN payload::JSON END) = 'OBJECT'
-            AND (comparison.agent_key IS NULL OR {_trim('comparison.agent_key')} IS NOT NULL) AND (comparison.model_deployment_key IS NULL OR {_trim('comparison.model_deployment_key')} IS NOT NULL)
-            AND (comparison.kv_namespace IS NULL OR {_trim('comparison.kv_namespace')} IS NOT NULL) AND (r.session_key IS NULL OR {_trim('r.session_key')} IS NOT NULL)),
-fits AS (SELECT input_line, session_key, captured_at, p FROM loads JOIN sound USING (input_line)
-         WHERE json_type(p, '$.model') = 'VARCHAR' AND p->>'$.model' <> '' AND ({_INSTANT}) IS NOT NULL)
-"""
-_FIELD_UNITS = " UNION ALL ".join(
-    f"SELECT input_line, {kind} AS kind FROM msg SEMI JOIN fits USING (input_line) WHERE json_exists(m, '$.{f}')" + (" AND json_type(m, '$.content') <> 'ARRAY'" if f == "content" else "")
-    for f, kind in (("name", "'visible_text'"), ("content", "'visible_text'"), ("function_call", "'tool_call'"), ("tool_calls", "'tool_call'"), ("refusal", "'visible_text'"), ("tool_call_id", "CASE WHEN json_type(m, '$.role') = 'VARCHAR' AND m->>'$.role' = 'tool' THEN 'tool_result' ELSE 'visible_text' END"))
-)
-_RATED = f"""
-once AS (SELECT DISTINCT input_line, captured_at, session_key, response_usage AS u FROM corpus_records),
-rated AS (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY coalesce(captured_at, ''), input_line) AS sequence,
-                 CASE WHEN u IS NOT NULL AND u.prompt_tokens > 0 THEN least(u.cached_tokens, u.prompt_tokens)::DOUBLE / u.prompt_tokens ELSE 0.0 END AS hit_rate FROM once)
-"""
-
-SQL = {
-    "line_skips": f"""
-        WITH p AS (SELECT input_line, line, CASE WHEN json_valid(line) THEN line::JSON END AS j FROM raw_lines),
-        c AS (SELECT input_line, CASE
-            WHEN line IS NULL OR regexp_full_match(line, '[ \\t\\r\\f]*') THEN 'EmptyLine' WHEN strlen(line) > {OPTIONS.max_payload_bytes} THEN 'RecordTooLarge'
-            WHEN j IS NULL THEN 'InvalidJson' WHEN json_type(j) <> 'OBJECT' THEN 'RecordNotObject' WHEN NOT json_exists(j, '$.payload') THEN 'MissingPayload'
-            WHEN json_type(j, '$.payload') <> 'OBJECT' THEN 'PayloadNotObject' WHEN coalesce(json_type(j, '$.comparison'), '') <> 'OBJECT' THEN 'MissingComparison'
-            WHEN coalesce(json_type(j, '$.comparison.endpoint_key'), '') <> 'VARCHAR' THEN 'MissingEndpointKey'
-            WHEN {_trim("(j->>'$.comparison.endpoint_key')")} IS NULL THEN 'EmptyEndpointKey' {_KEY_RULES}
-            WHEN {_bad('$.session_key', 'type')} THEN 'InvalidSessionKey' WHEN {_bad('$.session_key', 'blank')} THEN 'EmptySessionKey' END AS code,
-            CASE {_KEY_FIELDS} END AS f FROM p)
-        SELECT input_line AS record_index, code, CASE WHEN code IN ('InvalidComparisonKey', 'EmptyComparisonKey') THEN f END AS field FROM c WHERE code IS NOT NULL""",
-    "domain_windows": f"""
-        SELECT (floor(epoch({_INSTANT}) / 3600) * 3600)::BIGINT AS time_window_key, comparison.endpoint_key AS endpoint_key, count(*) AS records
-        FROM corpus_records WHERE ({_INSTANT}) IS NOT NULL GROUP BY ALL""",
-    "cache_metrics_reported": f"""
-        WITH {_RATED}
-        SELECT input_line, session_key, sequence, u.prompt_tokens AS prompt_tokens, least(u.cached_tokens, u.prompt_tokens) AS cached_tokens,
-               CASE WHEN u IS NOT NULL THEN u.prompt_tokens - least(u.cached_tokens, u.prompt_tokens) END AS miss_tokens, u.completion_tokens AS output_tokens, hit_rate,
-               hit_rate - lag(hit_rate) OVER (PARTITION BY session_key ORDER BY sequence) AS hit_rate_delta,
-               CASE WHEN u IS NULL THEN 'estimated' ELSE 'reported' END AS basis, u.ttft_ms AS ttft_ms, u.total_ms AS total_ms FROM rated""",
-    "usage_by_session": f"""
-        WITH {_RATED}
-        SELECT session_key, sum(least(u.cached_tokens, u.prompt_tokens))::BIGINT AS cached_tokens, sum(u.prompt_tokens)::BIGINT AS prompt_tokens, count(*) AS reported_rows,
-               CASE WHEN sum(u.prompt_tokens) > 0 THEN sum(least(u.cached_tokens, u.prompt_tokens))::DOUBLE / sum(u.prompt_tokens) ELSE 0.0 END AS hit_rate
-        FROM rated WHERE u IS NOT NULL AND session_key IS NOT NULL GROUP BY 1""",
-    "session_turns": f"""
-        WITH {_PROJECTABLE}
-        SELECT session_key, row_number() OVER (PARTITION BY session_key ORDER BY {_NANOS}, input_line) AS sequence, input_line FROM fits WHERE session_key IS NOT NULL""",
-    "unit_counts": f"""
-        WITH {_PROJECTABLE},
-        u AS (SELECT input_line, 'structural' AS kind FROM fits, range(2) UNION ALL SELECT input_line, 'structural' FROM fits, range(2) WHERE json_type(p, '$.tools') = 'ARRAY'
-              UNION ALL SELECT input_line, 'tool_definition' FROM tl SEMI JOIN fits USING (input_line) UNION ALL SELECT input_line, 'role' FROM msg SEMI JOIN fits USING (input_line)
-              UNION ALL SELECT input_line, 'visible_text' FROM blk SEMI JOIN fits USING (input_line) UNION ALL {_FIELD_UNITS})
-        SELECT input_line, kind, count(*) AS units FROM u GROUP BY ALL""",
-    "tool_overlap": f"""
-        WITH {SOUND_SQL},
-        n AS (SELECT input_line, list_distinct(list(CASE WHEN json_type(t, '$.name') = 'VARCHAR' THEN t->>'$.name' WHEN json_type(t, '$.function.name') = 'VARCHAR' THEN t->>'$.function.name' END)) AS names FROM tl GROUP BY 1),
-        s AS (SELECT {_trim('session_key')} AS session_key, input_line, names FROM requests JOIN n USING (input_line) WHERE len(names) > 0 AND {_trim('session_key')} IS NOT NULL),
-        o AS (SELECT *, row_number() OVER w AS sequence, lag(names) OVER w AS before FROM s WINDOW w AS (PARTITION BY session_key ORDER BY input_line))
-        SELECT session_key, sequence, input_line, len(list_intersect(names, before))::DOUBLE / len(list_distinct(list_concat(names, before))) AS jaccard FROM o WHERE before IS NOT NULL""",
-}

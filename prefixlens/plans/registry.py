@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from prefixlens.plans import analysis_queries, problems
+from prefixlens.plans import analysis_queries, analysis_sql, problems
 
 FLAGSHIP = "prefix_reuse_by_session"
 QUERIES = {**analysis_queries.QUERIES, **problems.QUERIES}
-SQL = {**analysis_queries.SQL, **problems.SQL}
+SQL = {**analysis_sql.SQL, **problems.SQL}
