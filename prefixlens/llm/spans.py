@@ -7,8 +7,8 @@ character, are the shared windows.
 
 Only buckets that at least two records reach are opened; that is found by counting before any text moves.
 A bucket with more windows than ``BUCKET_WINDOWS`` (a boilerplate passage in a third of all records, say)
-is not sorted in one task: its windows leave one by one under two independent 64-bit hashes and are
-counted by a distributed aggregation instead, with equal results.
+is not sorted in one task: equal super-k-mers become one string there, and the windows of the different
+strings are grouped by their text over all tasks, with equal results. Hashes alone decide nothing on either way.
 
 Defined cases: null, empty and short texts have no window; a record that repeats a span only within itself
 shares nothing; repeated rows with one id are one record; records of equal text share all windows; an empty
@@ -196,15 +196,28 @@ def shared_windows(packed: DataFrame, length: int, bucket_windows: int = BUCKET_
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                row, offset, at, codes = _expand(part, length)
-                yield _window_batch(part, row, offset, rolling(codes, length, _BASE[0])[at], rolling(codes, length, _BASE[1])[at], np.arange(len(row)))
+            for i in range(0, b.num_rows, 16):
+                part = b.slice(i, 16)
+                texts = [c.decode("utf-8", "surrogatepass") for c in part.column(1).to_pylist()]
+                counts = np.array([len(t) - length + 1 for t in texts])
+                windows = [t[k : k + length].encode("utf-8", "surrogatepass") for t in texts for k in range(len(t) - length + 1)]
+                take = pa.array(np.repeat(np.arange(len(texts)), counts))
+                offset = np.concatenate([np.arange(n) for n in counts])
+                columns = [part.column(c).take(take) for c in (0, 2, 3, 4)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(offset.astype(np.int32)), pa.array(windows, pa.binary())], names=["bucket", "low", "high", "string", "offset", "window"])
 
     sorted_in_task = small.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(sort, WINDOWS)
-    alone = large.mapInArrow(explode, WINDOWS)
-    common = alone.groupBy("bucket", "w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("low", "high")
-    return sorted_in_task.unionByName(alone.join(common, ["bucket", "w1", "w2"]).select(*sorted_in_task.columns))
+    if large.isEmpty():
+        return sorted_in_task
+    # equal super-k-mers are one string; its windows are grouped as texts
+    strings = large.groupBy("bucket", "chars").agg(F.min("id").alias("low"), F.max("id").alias("high")).withColumn("string", F.monotonically_increasing_id())
+    strings = written(strings, "spans-strings")
+    each = strings.select("bucket", "chars", "low", "high", "string").mapInArrow(explode, "bucket bigint, low bigint, high bigint, string bigint, offset int, window binary")
+    common = each.groupBy("bucket", "window").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("bucket", "window", F.monotonically_increasing_id().alias("w1"))
+    common = written(common, "spans-common")
+    shared = each.join(common, ["bucket", "window"]).select("string", "offset", "w1")
+    placed = large.join(strings.select("bucket", "chars", "string"), ["bucket", "chars"]).join(shared, "string")
+    return sorted_in_task.unionByName(placed.select("bucket", "w1", F.lit(0).cast("bigint").alias("w2"), "id", "part", (F.col("at") + F.col("offset")).alias("at")))
 
 
 def sharing_pairs(windows: DataFrame) -> DataFrame:

@@ -92,3 +92,14 @@ def test_equal_hashes_of_different_texts_are_told_apart(monkeypatch):
     t = pa.table({k: pa.array(v, pa.binary() if k == "chars" else pa.int64() if k in ("bucket", "id") else pa.int32()) for k, v in rows.items()})
     out = S._sort_bucket(t, 4).to_pylist()
     assert sorted(r["id"] for r in out) == [1, 3] and len({(r["w1"], r["w2"]) for r in out}) == 1
+
+
+@pytest.mark.parametrize("bucket_windows", [1_000_000, 0])
+def test_texts_whose_hashes_agree_share_nothing(spark, bucket_windows):
+    # a polynomial mod 2**64 gives these two words one value for every odd base
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, [one]), (2, [other]), (3, ["xy" + one + "z"])], "id long, texts array<string>")
+    found = S.find(df, pick, 1024, bucket_windows=bucket_windows)
+    assert {tuple(r) for r in S.sharing_pairs(found).collect()} == {(1, 3)}
+    assert {r.id: r.shared_chars for r in S.shared_chars(found, 1024).collect()} == {1: 1024, 3: 1024}
