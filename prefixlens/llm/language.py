@@ -35,6 +35,8 @@ from prefixlens.llm.words import hash_text
 MAX_SAMPLES = 2000
 #: Words from which a piece without end mark counts as a stretch of its own.
 FRAGMENT = 5
+#: Words of a chain run through at once, and words that a piece sees of its neighbours.
+CHAIN, OVERLAP = 512, 64
 #: Hashed feature space.
 SPACE = 1 << 15
 ROUNDS = 50
@@ -293,27 +295,44 @@ class Tagger:
     def __init__(self, field: ChainField):
         self.field = field
         self.number: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
+        self.rows = np.empty((1024, len(field.languages)))
 
     def _id(self, word: str) -> int:
         i = self.number.get(word)
         if i is None:
-            i = self.number[word] = len(self.rows)
+            i = self.number[word] = len(self.number)
+            if i == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
             s = self.field.scores(word)
-            self.rows.append(np.exp(s - s.max()))
+            self.rows[i] = np.exp(s - s.max())
         return i
 
+    def _posteriors(self, emissions: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Word probabilities. Chains over CHAIN words are taken in pieces that overlap by OVERLAP on both sides."""
+        if sizes.max() <= CHAIN + 2 * OVERLAP:
+            return ChainField.posteriors(emissions, self.field.transitions, sizes)
+        pieces = -(-sizes // CHAIN)
+        chain = np.repeat(np.arange(len(sizes)), pieces)
+        start = (np.arange(len(chain)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * CHAIN
+        low, high = np.maximum(start - OVERLAP, 0), np.minimum(start + CHAIN + OVERLAP, sizes[chain])
+        first = np.cumsum(high - low) - (high - low)
+        offset = np.arange(first[-1] + high[-1] - low[-1]) - np.repeat(first, high - low)
+        place = np.repeat(low, high - low) + offset
+        at = np.repeat((np.cumsum(sizes) - sizes)[chain], high - low) + place
+        p = ChainField.posteriors(emissions[at], self.field.transitions, high - low)
+        return p[(place >= np.repeat(start, high - low)) & (place < np.repeat(start + CHAIN, high - low))]
+
     def label(self, texts: list[str | None]) -> list[list[tuple[int, int, bool, int, np.ndarray]]]:
         """Per text its sentences: start, end, has an end mark, words, language probabilities."""
-        if len(self.rows) > self.BOUND:
-            self.number, self.rows = {}, []
+        if len(self.number) > self.BOUND:
+            self.number = {}
         found = [list(sentences(t)) if t else [] for t in texts]
         ids = np.fromiter((self._id(w) for f in found for s in f for w in s[3]), np.int64)
         if not len(ids):
             return [[] for _ in texts]
         per_sentence = np.fromiter((len(s[3]) for f in found for s in f), np.int64)
         sizes = np.fromiter((sum(len(s[3]) for s in f) for f in found), np.int64, len(found))
-        p = ChainField.posteriors(np.array(self.rows)[ids], self.field.transitions, sizes[sizes > 0])
+        p = self._posteriors(self.rows[ids], sizes[sizes > 0])
         means = np.add.reduceat(p, np.cumsum(per_sentence) - per_sentence) / per_sentence[:, None]
         out, n = [], 0
         for f in found:
@@ -366,7 +385,7 @@ def segments(documents: DataFrame, samples: DataFrame, doc_id: str = "doc_id", t
 def document_languages(segs: DataFrame) -> DataFrame:
     """Per document with running text: its language, that language's share of the words, and a confidence."""
     per = segs.groupBy("doc_id", "label", "language").agg(F.sum("words").alias("w"), F.sum(F.col("words") * F.col("confidence")).alias("m"))
-    best = per.groupBy("doc_id", "label").agg(F.max(F.struct(F.col("w"), (-F.ascii("language")).alias("tie"), "language", "m")).alias("x"), F.sum("w").alias("all"))
+    best = per.groupBy("doc_id", "label").agg(F.min_by(F.struct("w", "language", "m"), F.struct(-F.col("w"), "language")).alias("x"), F.sum("w").alias("all"))
     return best.select("doc_id", "label", F.col("x.language").alias("language"), (F.col("x.w") / F.col("all")).alias("share"), (F.col("x.m") / F.col("x.w")).alias("confidence"))
 
 

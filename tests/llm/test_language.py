@@ -122,3 +122,17 @@ def test_long_technical_lines_are_set_aside():
 
 def test_long_words_have_the_ngrams_of_their_end():
     assert L.hash_text("qzk") % L.SPACE in L.features("x" * 40 + "qzk")
+
+
+def test_ties_go_to_the_first_language(spark):
+    rows = [(1, None, 0, "es", 0.9, 0, 9, 2, 10), (1, None, 1, "en", 0.8, 9, 20, 2, 10), (2, "x", 0, "nl", 0.9, 0, 9, 2, 3), (2, "x", 1, "fr", 0.8, 9, 20, 2, 4)]
+    got = {r.doc_id: (r.language, round(r.share, 3), round(r.confidence, 3)) for r in L.document_languages(spark.createDataFrame(rows, L.SEGMENTS)).collect()}
+    assert got == {1: ("en", 0.5, 0.8), 2: ("fr", round(4 / 7, 3), 0.8)}
+
+
+def test_long_chains_in_pieces_equal_whole_ones():
+    rng = np.random.default_rng(1)
+    field = L.ChainField(["a", "b", "c"], np.zeros((L.SPACE, 3)), np.full((3, 3), -1.0) + 3 * np.eye(3))
+    sizes = np.array([3, 5000, 700, 1, L.CHAIN, 1300])
+    emissions = np.exp(rng.normal(size=(sizes.sum(), 3)))
+    assert np.abs(L.Tagger(field)._posteriors(emissions, sizes) - L.ChainField.posteriors(emissions, field.transitions, sizes)).max() < 1e-6
