@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 #: Keys of an object block whose first string is the block's text, in order (fixed values).
 BLOCK_TEXT_KEYS = ("text", "input_text", "output_text", "content")
@@ -12,15 +13,52 @@ def _no_constant(name: str) -> None:
     raise ValueError(f"{name} is not JSON")
 
 
-_decode = json.JSONDecoder(parse_constant=_no_constant).decode
+#: Digits from which an integer is read as a float: the interpreter's own limit for int().
+DIGITS = 4000
+#: Levels decoded at once where a text is nested too deeply for the decoder.
+LEVELS = 200
+_MARK = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]', re.S)
+
+
+def _integer(text: str) -> int | float:
+    return int(text) if len(text) < DIGITS else float(text)
+
+
+_decode = json.JSONDecoder(parse_constant=_no_constant, parse_int=_integer).decode
+
+
+def _decode_deep(text: str) -> object:
+    """The value of a text of any depth. What lies deeper than LEVELS is checked a piece at a time and becomes 0."""
+    open_: list[list[str]] = [[]]
+    last = depth = 0
+    for m in _MARK.finditer(text):
+        c = m.group()
+        if c in "[{":
+            if depth and depth % LEVELS == 0:
+                open_[-1].append(text[last : m.start()])
+                open_.append([])
+                last = m.start()
+            depth += 1
+        elif c in "]}":
+            depth -= 1
+            if depth > 0 and depth % LEVELS == 0 and len(open_) > 1:
+                _decode("".join([*open_.pop(), text[last : m.end()]]))
+                open_[-1].append("0")
+                last = m.end()
+    if len(open_) > 1:
+        raise ValueError("brackets left open")
+    return _decode("".join([*open_[0], text[last:]]))
 
 
 def loads(text: str) -> object:
-    """The value of a JSON text; ValueError for anything else (also NaN, too deep nesting)."""
+    """The value of a JSON text, ValueError for anything else (also NaN).
+
+    Integers of any length and any depth are JSON; a value deeper than LEVELS is only told to be one.
+    """
     try:
         return _decode(text)
     except RecursionError:
-        raise ValueError("nested too deeply") from None
+        return _decode_deep(text)
 
 
 def sound(text: str | None) -> dict | None:

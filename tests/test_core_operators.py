@@ -111,3 +111,13 @@ def test_written_tables(spark, tmp_path):
     assert os.path.isdir(path) and TB.drop_written(spark) == 1 and not os.path.exists(path)
     TB._written[:] = held
     assert TB.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_long_numbers_and_deep_values_are_json():
+    from prefixlens.sources import payload as P
+
+    long = '{"messages":[{"role":"user","content":"a]"}],"x":%s}'
+    for value in ("9" * 5000, "-" + "9" * 5000, "[" * 100_000 + "]" * 100_000, '{"k":[' * 50_000 + '"]}\\""' + "]}" * 50_000):
+        assert P.sound(long % value)["messages"][0]["content"] == "a]"
+    for broken in ("[" * 100_000 + "]" * 99_999, "[" * 100_000 + "1," + "]" * 100_000, "[" * 100_000 + "}" + "]" * 99_999):
+        assert P.sound(long % broken) is None
