@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefixlens.functions.strings import clean_key
-from prefixlens.functions.times import rfc3339_seconds, utc_day
+from prefixlens.functions.times import rfc3339_seconds
 from prefixlens.llm import language, leakage, mixing, neardup, quantiles, spans
 from prefixlens.sources import payload as P
 from prefixlens.sources.tables import spread, table, written
@@ -76,45 +76,56 @@ def p2_shared(spark: SparkSession, base: str) -> DataFrame:
 
 #: Problem 3: (metric, percentile, the value it must exceed), and the values a group must have.
 P3_LIMITS = (("ttft_ms", 0.5, 1500), ("total_ms", 0.95, 45000))
+P3_METRICS = [m for m, _, _ in P3_LIMITS]
 P3_LEAST = 20
-_P3_KEYS = ["endpoint_key", "utc_day", "metric"]
+_P3_KEYS = ["endpoint_key", "day"]
 
 
 def latencies(records: DataFrame) -> DataFrame:
-    """(endpoint_key, utc_day, metric, value) of corpus records: each row once, valid instants only."""
+    """(endpoint_key, day since the epoch, input_line, metrics) of corpus records with a valid instant and a value."""
     usage = F.col("response_usage")
-    once = records.select("input_line", F.col("comparison.endpoint_key").alias("endpoint_key"), "captured_at", usage["ttft_ms"].alias("ttft_ms"), usage["total_ms"].alias("total_ms")).where("ttft_ms IS NOT NULL OR total_ms IS NOT NULL").distinct()
-    dated = once.select("endpoint_key", utc_day(rfc3339_seconds("captured_at")).alias("utc_day"), "ttft_ms", "total_ms").where(F.col("utc_day").isNotNull())
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m, _, _ in P3_LIMITS])
-    return dated.select("endpoint_key", "utc_day", F.explode(pairs).alias("x")).select("endpoint_key", "utc_day", "x.metric", "x.value").where("value IS NOT NULL")
+    day = F.floor(rfc3339_seconds("captured_at") / 86400).cast("int")
+    rows = records.select(F.col("comparison.endpoint_key").alias("endpoint_key"), day.alias("day"), "input_line", *[usage[m].alias(m) for m in P3_METRICS])
+    return rows.where(F.col("day").isNotNull() & F.coalesce(*P3_METRICS).isNotNull())
+
+
+def _p3_digests(spark: SparkSession, base: str) -> DataFrame:
+    return quantiles.digest(latencies(table(spark, base, "corpus_records")), _P3_KEYS, P3_METRICS, "input_line")
+
+
+def _dated(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("utc_day", F.date_format(F.date_from_unix_date("day"), "yyyy-MM-dd")).drop("day")
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
     """Read from the digests; only groups whose interval holds the limit are counted exactly."""
-    values = latencies(table(spark, base, "corpus_records"))
-    bounds = quantiles.percentiles(quantiles.digest(values, _P3_KEYS, F.col("value")), _P3_KEYS, tuple(sorted({q for _, q, _ in P3_LIMITS})))
-    limits = [(F.col("metric") == m) & (F.col("q").cast("decimal(12,10)") == F.lit(repr(q)).cast("decimal(12,10)")) for m, q, _ in P3_LIMITS]
-    limit = F.coalesce(*[F.when(on, F.lit(x).cast("bigint")) for on, (_, _, x) in zip(limits, P3_LIMITS)])
+    bounds = quantiles.percentiles(_p3_digests(spark, base), [*_P3_KEYS, "metric"], tuple(sorted({q for _, q, _ in P3_LIMITS})))
+    limit = F.coalesce(*[F.when((F.col("metric") == m) & (F.col("q") == F.lit(q)), F.lit(x).cast("bigint")) for m, q, x in P3_LIMITS])
     judged = written(bounds.withColumn("limit", limit).where((F.col("n") >= P3_LEAST) & F.col("limit").isNotNull() & (F.col("high") > F.col("limit"))), "quantile-bounds")
-    open_groups = judged.where("low <= limit").select(*[F.col(k).alias(f"_{k}") for k in _P3_KEYS], "limit", "q", "n")
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in _P3_KEYS]
-    exact = (
-        values.join(open_groups, on).groupBy(*_P3_KEYS, "limit", "q", "n").agg(F.count_if(F.col("value") <= F.col("limit")).alias("below"))
-        .where(F.col("below") < F.col("q").cast("decimal(12,10)") * F.col("n"))
-    )
-    return judged.where("low > limit").select(*_P3_KEYS).unionByName(exact.select(*_P3_KEYS))
+    sure = judged.where("low > limit").select(*_P3_KEYS, "metric")
+    open_groups = judged.where("low <= limit").select(F.col("endpoint_key").alias("_e"), F.col("day").alias("_d"), "metric", "limit", "q", "n")
+    if not open_groups.isEmpty():
+        on = F.col("endpoint_key").eqNullSafe(F.col("_e")) & (F.col("day") == F.col("_d"))
+        value = F.coalesce(*[F.when(F.col("metric") == m, F.col(m)) for m in P3_METRICS])
+        once = latencies(table(spark, base, "corpus_records")).join(open_groups, on).select(*_P3_KEYS, "metric", "limit", "q", "n", "input_line", *P3_METRICS).distinct()
+        exact = once.groupBy(*_P3_KEYS, "metric", "limit", "q", "n").agg(F.count_if(value <= F.col("limit")).alias("below"))
+        sure = sure.unionByName(exact.where(F.col("below") < F.col("q").cast("decimal(12,10)") * F.col("n")).select(*_P3_KEYS, "metric"))
+    return _dated(sure)
 
 
 def p3_daily(spark: SparkSession, base: str) -> DataFrame:
-    values = latencies(table(spark, base, "corpus_records"))
-    return quantiles.percentiles(quantiles.digest(values, _P3_KEYS, F.col("value")), _P3_KEYS, (0.5, 0.9, 0.95, 0.99))
+    return _dated(quantiles.percentiles(_p3_digests(spark, base), [*_P3_KEYS, "metric"], (0.5, 0.9, 0.95, 0.99)))
 
 
 def p3_endpoints(spark: SparkSession, base: str) -> DataFrame:
     """Percentiles over all days of each endpoint, from the days' digests alone."""
-    values = latencies(table(spark, base, "corpus_records"))
-    merged = quantiles.merge(quantiles.digest(values, _P3_KEYS, F.col("value")), ["endpoint_key", "metric"])
-    return quantiles.percentiles(merged, ["endpoint_key", "metric"], (0.5, 0.9, 0.95, 0.99))
+    keys = ["endpoint_key", "metric"]
+    return quantiles.percentiles(quantiles.merge(_p3_digests(spark, base), keys), keys, (0.5, 0.9, 0.95, 0.99))
+
+
+def p3_all(spark: SparkSession, base: str) -> DataFrame:
+    """Percentiles over all endpoints and days, from the days' digests alone."""
+    return quantiles.percentiles(quantiles.merge(_p3_digests(spark, base), ["metric"]), ["metric"], (0.01, 0.25, 0.5, 0.75, 0.95, 0.999))
 
 
 #: Problem 6: runs of 12 words.
@@ -159,7 +170,7 @@ def p8_found(spark: SparkSession, base: str) -> DataFrame:
     return language.unnamed_languages(p8_segments(spark, base), known)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_shared, p3_found, p3_daily, p3_endpoints, p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_segments, p8_documents)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_shared, p3_found, p3_daily, p3_endpoints, p3_all, p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_segments, p8_documents)}
 
 _WORDS = r"regexp_extract_all({x}, '[\p{{L}}\p{{N}}]+')"
 _P1_PAIRS = f"""
@@ -184,12 +195,61 @@ shared AS (SELECT * FROM win WHERE w IN (SELECT w FROM win GROUP BY w HAVING cou
 """
 
 
+#: Latencies per endpoint, day and metric, each row once.
+_RFC = r"(\d{4})-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])[Tt]([01]\d|2[0-3]):([0-5]\d):([0-5]\d|60)(\.\d+)?([Zz]|[+-]([01]\d|2[0-3]):[0-5]\d)"
+_LATENCIES = f"""
+once AS (SELECT DISTINCT input_line, comparison.endpoint_key AS endpoint_key, captured_at, response_usage.ttft_ms AS ttft_ms, response_usage.total_ms AS total_ms FROM corpus_records),
+dated AS (SELECT *, strftime(timezone('UTC', try_cast(captured_at AS TIMESTAMPTZ)), '%Y-%m-%d') AS utc_day FROM once WHERE regexp_full_match(captured_at, '{_RFC}')),
+v AS (SELECT endpoint_key, utc_day, 'ttft_ms' AS metric, ttft_ms AS x FROM dated WHERE ttft_ms IS NOT NULL AND utc_day IS NOT NULL
+      UNION ALL SELECT endpoint_key, utc_day, 'total_ms', total_ms FROM dated WHERE total_ms IS NOT NULL AND utc_day IS NOT NULL)
+"""
+
+
+def _digest_sql(name: str, source: str, keys: str) -> str:
+    """CTEs that compress ``source`` (keys, lvl, node, w) a level at a time, written from the definition of a q-digest."""
+    out = [f"{name}{quantiles.DEPTH} AS (SELECT {keys}, lvl, node, sum(w) AS w, any_value(n) AS n FROM (SELECT *, sum(w) OVER (PARTITION BY {keys}) AS n FROM {source}) GROUP BY {keys}, lvl, node)"]
+    for level in range(quantiles.DEPTH, 0, -1):
+        out.append(f"""{name}t{level} AS (SELECT *, lvl = {level} AND sum(w) OVER (PARTITION BY {keys}, lvl IN ({level}, {level - 1}), CASE WHEN lvl = {level} THEN node // 2 ELSE node END) <= n // {quantiles.K} AS up FROM {name}{level}),
+            {name}{level - 1} AS (SELECT {keys}, CASE WHEN up THEN lvl - 1 ELSE lvl END AS lvl, CASE WHEN up THEN node // 2 ELSE node END AS node, sum(w) AS w, any_value(n) AS n FROM {name}t{level} GROUP BY ALL)""")
+    return ",\n".join(out)
+
+
+def _percentile_sql(name: str, keys: str, qs: tuple[float, ...]) -> str:
+    """Percentiles of the digests ``name``0."""
+    half, zero, bits, depth = 1 << (quantiles.BITS - 1), 1 << (quantiles.DEPTH - 1), quantiles.BITS, quantiles.DEPTH
+    code = lambda leaf: f"least(abs({leaf} - {zero}), {(63 - bits) * half + (1 << bits) - 1})"
+    shift = lambda leaf: f"greatest({code(leaf)} // {half} - 1, 0)"
+    base = lambda leaf: f"(({code(leaf)} - {shift(leaf)} * {half}) * (1::HUGEINT << {shift(leaf)}::INTEGER))"
+    smallest = lambda leaf: f"CASE WHEN {leaf} < {zero} THEN -({base(leaf)} + (1::HUGEINT << {shift(leaf)}::INTEGER) - 1) ELSE {base(leaf)} END"
+    largest = lambda leaf: f"CASE WHEN {leaf} < {zero} THEN -{base(leaf)} ELSE {base(leaf)} + (1::HUGEINT << {shift(leaf)}::INTEGER) - 1 END"
+    return f"""
+        {name}l AS (SELECT {keys}, w, n, (node * (1 << ({depth} - lvl))) AS a, ((node + 1) * (1 << ({depth} - lvl)) - 1) AS z FROM {name}0),
+        {name}b AS (SELECT {keys}, w, n, {smallest('a')} AS low, {largest('z')} AS high FROM {name}l),
+        {name}s AS (SELECT *, sum(w) OVER (PARTITION BY {keys} ORDER BY low) AS may, sum(w) OVER (PARTITION BY {keys} ORDER BY high) AS sure FROM {name}b),
+        {name}q AS (SELECT {keys}, q, any_value(n) AS n, min(low) FILTER (may >= greatest(ceil(q * n), 1)) AS low, min(high) FILTER (sure >= greatest(ceil(q * n), 1)) AS high FROM {name}s, (SELECT unnest({list(qs)}) AS q) GROUP BY {keys}, q)
+        SELECT {', '.join(f'{name}q.{k.strip()}' for k in keys.split(','))}, q::DOUBLE AS q, {name}q.n::BIGINT AS n, any_value({name}q.low)::BIGINT AS low, any_value({name}q.high)::BIGINT AS high, (sum(w) - any_value(greatest(ceil(q * {name}q.n), 1)))::BIGINT AS rank_error
+        FROM {name}q JOIN {name}b ON {name}b.low <= {name}q.high AND {' AND '.join(f'{name}b.{k.strip()} IS NOT DISTINCT FROM {name}q.{k.strip()}' for k in keys.split(','))} GROUP BY {', '.join(f'{name}q.{k.strip()}' for k in keys.split(','))}, q, {name}q.n"""
+
+
+def _p3_sql() -> dict[str, str]:
+    half, zero, bits = 1 << (quantiles.BITS - 1), 1 << (quantiles.DEPTH - 1), quantiles.BITS
+    size = "abs(greatest(x, -9223372036854775807))"
+    shift = f"greatest(length(ltrim({size}::BIGINT::BIT::VARCHAR, '0')) - {bits}, 0)"
+    leaf = f"({shift} * {half} + ({size} >> {shift}))"
+    day, keys = "endpoint_key, utc_day, metric", (0.5, 0.9, 0.95, 0.99)
+    daily = f"WITH {_LATENCIES}, leaves AS (SELECT {day}, {quantiles.DEPTH} AS lvl, CASE WHEN x < 0 THEN {zero} - {leaf} ELSE {zero} + {leaf} END AS node, 1 AS w FROM v), {_digest_sql('d', 'leaves', day)}"
+    return {
+        "p3_daily": f"{daily}, {_percentile_sql('d', day, keys)}",
+        "p3_endpoints": f"{daily}, {_digest_sql('e', '(SELECT endpoint_key, metric, lvl, node, w FROM d0)', 'endpoint_key, metric')}, {_percentile_sql('e', 'endpoint_key, metric', keys)}",
+        "p3_all": f"{daily}, {_digest_sql('e', '(SELECT metric, lvl, node, w FROM d0)', 'metric')}, {_percentile_sql('e', 'metric', (0.01, 0.25, 0.5, 0.75, 0.95, 0.999))}",
+    }
+
+
 def _sql() -> dict[str, str]:
     from prefixlens.plans.problems import BLOCK_SQL, SOUND_SQL
 
     pairs = SOUND_SQL + "," + _P1_PAIRS.replace("@BLOCK@", BLOCK_SQL)
     windows = SOUND_SQL + "," + _P2_WINDOWS.replace("@BLOCK@", BLOCK_SQL)
-    rfc = r"(\d{4})-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])[Tt]([01]\d|2[0-3]):([0-5]\d):([0-5]\d|60)(\.\d+)?([Zz]|[+-]([01]\d|2[0-3]):[0-5]\d)"
     item = "SELECT item_id, field, list_transform(" + _WORDS.format(x="t") + ", lambda x: lower(x)) AS ws FROM (SELECT item_id, 'prompt' AS field, prompt AS t FROM eval_items UNION ALL SELECT item_id, 'answer', answer FROM eval_items)"
     leaks = f"""
         iw AS ({item}),
@@ -198,13 +258,10 @@ def _sql() -> dict[str, str]:
         dg AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - {P6_WORDS} + 2), lambda k: array_to_string(ws[k : k + {P6_WORDS - 1}], ' '))) AS g FROM dw)"""
     return {
         "p6_found": f"WITH {leaks} SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
+        **_p3_sql(),
         "p3_found": f"""
-            WITH once AS (SELECT DISTINCT input_line, comparison.endpoint_key AS endpoint_key, captured_at, response_usage.ttft_ms AS ttft_ms, response_usage.total_ms AS total_ms FROM corpus_records),
-            dated AS (SELECT *, strftime(timezone('UTC', try_cast(captured_at AS TIMESTAMPTZ)), '%Y-%m-%d') AS utc_day FROM once WHERE regexp_full_match(captured_at, '{rfc}')),
-            v AS (SELECT endpoint_key, utc_day, 'ttft_ms' AS metric, ttft_ms AS x, 50 AS q, 1500 AS lim FROM dated WHERE ttft_ms IS NOT NULL AND utc_day IS NOT NULL
-                  UNION ALL SELECT endpoint_key, utc_day, 'total_ms', total_ms, 95, 45000 FROM dated WHERE total_ms IS NOT NULL AND utc_day IS NOT NULL)
-            SELECT endpoint_key, utc_day, metric FROM v GROUP BY ALL
-            HAVING count(*) >= 20 AND 100 * count(*) FILTER (x <= lim) < any_value(q) * count(*)""",
+            WITH {_LATENCIES}, g AS (SELECT *, CASE metric WHEN 'ttft_ms' THEN 50 ELSE 95 END AS q, CASE metric WHEN 'ttft_ms' THEN 1500 ELSE 45000 END AS lim FROM v)
+            SELECT endpoint_key, utc_day, metric FROM g GROUP BY ALL HAVING count(*) >= 20 AND 100 * count(*) FILTER (x <= lim) < any_value(q) * count(*)""",
         "p1_found": f"WITH {pairs} SELECT line_a, line_b FROM pairs",
         "p2_found": f"WITH {windows} SELECT DISTINCT a.input_line AS line_a, b.input_line AS line_b FROM shared a JOIN shared b ON a.w = b.w AND a.input_line < b.input_line",
         "p2_shared": f"""WITH {windows},
