@@ -1,4 +1,4 @@
-"""Row numbers and predecessors within groups of any size.
+"""Row numbers, running sums and predecessors within groups of any size.
 
 A window over a group sorts the whole group in one task. Here rows are range-partitioned by (keys, order)
 instead, so that a large group spans many tasks, numbered inside each partition, and shifted by the rows of
@@ -8,10 +8,14 @@ an equi-join on (keys, number), which spreads over all tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prefixlens.sources.tables import written
 
@@ -39,6 +43,40 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str, smal
     return joined.select("r.*", (F.col("r._seq") + F.col("o._offset") + 1).alias(out)).drop("_pid", "_seq")
 
 
+def running_sums(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """df with the sum of the whole numbers ``value`` up to and including each row, within its keys, by a total ``order``."""
+    schema = T.StructType([*df.schema.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_inside", T.LongType())])
+    at, of = [df.columns.index(k) for k in keys], df.columns.index(value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, carried = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = np.zeros(b.num_rows, bool)
+            for i in at:
+                codes = b.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                new[1:] |= codes[1:] != codes[:-1]
+            first, last = ([b.column(i)[j].as_py() for i in at] for j in (0, b.num_rows - 1))
+            upto = np.cumsum(b.column(of).to_numpy())
+            starts = np.flatnonzero(new)
+            base = np.zeros(b.num_rows, np.int64)
+            base[starts] = np.diff(np.append(0, upto[starts - 1]))
+            upto = upto - np.cumsum(base)
+            if first == before:
+                upto[: starts[0] if len(starts) else None] += carried
+            before, carried = last, int(upto[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(upto)], names=[*b.schema.names, "_inside"])
+
+    placed = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_pid", F.spark_partition_id())
+    inside = written(placed.mapInArrow(run, schema), "summed")
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition and group
+    offsets = inside.groupBy("_pid", *keys).agg(F.sum(value).alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).select("_pid", *keys, "_before")
+    joined = inside.alias("r").join(offsets.alias("o"), _equal("r", "o", ["_pid", *keys]))
+    return joined.select("r.*", (F.col("r._inside") + F.col("o._before")).alias(out)).drop("_pid", "_inside")
+
+
 def with_previous(df: DataFrame, keys: list[str], number: str, columns: list[str], prefix: str = "prev_") -> DataFrame:
     """df with ``columns`` of the row numbered one less in the same group, null for the first."""
     before = df.select(*[F.col(k) for k in keys], (F.col(number) + 1).alias(number), *[F.col(c).alias(prefix + c) for c in columns])

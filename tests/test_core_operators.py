@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prefixlens.operators import flatten as FL
-from prefixlens.operators.ordering import row_numbers, with_previous
+from prefixlens.operators.ordering import row_numbers, running_sums, with_previous
 from prefixlens.operators.weighted import heavy_keys, weighted_stats
 
 
@@ -121,3 +121,20 @@ def test_long_numbers_and_deep_values_are_json():
         assert P.sound(long % value)["messages"][0]["content"] == "a]"
     for broken in ("[" * 100_000 + "]" * 99_999, "[" * 100_000 + "1," + "]" * 100_000, "[" * 100_000 + "}" + "]" * 99_999):
         assert P.sound(long % broken) is None
+
+
+def test_running_sums_match_plain_ones(spark):
+    rnd = random.Random(2)
+    rows = [(None if rnd.random() < 0.1 else "hot" if rnd.random() < 0.6 else f"k{rnd.randint(0, 5)}", rnd.randint(0, 20), i, rnd.randint(0, 9)) for i in range(700)]
+    df = spark.createDataFrame(rows, "k string, t int, i long, v long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {r.i: r.s for r in running_sums(df.repartition(5), ["k"], ["t", "i"], "v", "s").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, sums = {}, collections.Counter()
+    for k, t, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
+        sums[k] += v
+        want[i] = sums[k]
+    assert got == want
+    assert running_sums(df.limit(0), ["k"], ["t", "i"], "v", "s").count() == 0
