@@ -26,9 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prefixlens.functions.strings import unicode_trim
 from prefixlens.llm.words import hash_text
 
 #: Labelled samples used at most, the smallest sample ids of each language in turn.
@@ -77,6 +78,17 @@ def same_language(label: str | None, language: str) -> bool:
     return code in known
 
 
+#: Labels that name no language (fixed values).
+PLACEHOLDERS = ("", "und", "unk", "unknown", "mul", "mis", "zxx", "xx", "none", "null", "n/a")
+
+
+def language_code(label: Column) -> Column:
+    """The two-letter code of a label in any known form, null for placeholders; another label's first part as it is."""
+    code = F.split(F.lower(unicode_trim(label)), r"[-_\s]")[0]
+    two = F.create_map(*[F.lit(x) for short, long in ISO.items() for form in long for x in (form, short)])
+    return F.when(~code.isin(*PLACEHOLDERS), F.coalesce(F.try_element_at(two, code), code))
+
+
 #: JSON, a position in a source file, a clock time, a duration in brackets, the start of a definition.
 _MARKS = re.compile(r"^[{\[].*[}\]],?$|\"[^\"\s]*\"\s*:|^\S+:\d+(?::\d+)?:\s|^\[?\d{1,4}[-:]\d\d[-:]\d\d\b|\(\d+(?:\.\d+)?\s?m?s\)$|[{}]$|^(?:def|class|const|let|var|function)\s+\w+\s*[(=:{]|^(?:import|from)\s+[\w.]+(?:\s+import\b.*)?$")
 

@@ -5,12 +5,12 @@ to each dimension's marginal until they settle: sources to their targets, langua
 they have among the documents. No weight exceeds its source's cap. The last step is always the source's:
 within a source the weights not yet at the cap are scaled until its tokens meet the target or all are capped,
 so a source falls short only if all its documents at full repetition do. Documents are then drawn with their
-cell's weight as calibrated probability: the whole part as copies, the fraction by systematic sampling in
-order of size, which keeps a cell's tokens within one document of its expectation.
+cell's weight as calibrated probability: the whole part as copies, the fractions by systematic sampling along
+their running sum over all documents of the source in order of size. As neighbours are of like size, a source's
+tokens come within one document (its largest) of what they should be.
 
-Every language and topic is fitted. Up to ``CELLS`` observed cells are raked on the driver; more of them stay a
-table, raked by the same rounds as joins. A source's cells are drawn from in one chain, each going on at the
-fraction where the one before ended, so that many small cells do not add up their roundings.
+Every language and topic is fitted. Up to ``most_cells`` observed cells are raked on the driver; more of them
+stay a table, raked by the same rounds as joins, with equal results.
 
 Defined cases: documents of other or null sources are left out; a null or blank language or topic is a value
 of its own; empty texts have no tokens and are left out; a repeated document is another document; a
@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefixlens.functions.strings import unicode_trim
+from prefixlens.operators.ordering import running_sums
 from prefixlens.sources.tables import drop_written, last_written, written
 
 #: Public byte-level BPE vocabulary as ranks, and the pattern that splits text before it.
@@ -35,8 +36,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Cells raked on the driver and broadcast; beyond, both are joins.
 CELLS = 100_000
-#: Documents of one cell, or cells of one chain, that one task orders.
-DRAW_ROWS = 200_000
+#: Parts of a copy that running sums count in.
+UNIT = 1 << 24
 _encoders: dict[str, object] = {}
 
 
@@ -182,17 +183,10 @@ def mix(counted: DataFrame, targets: DataFrame, total: float | None = None, seed
         table = spark.createDataFrame(local, "source string, language string, topic string, tokens bigint, docs bigint, weight double")
     else:
         table = rake_table(cells, {s: goals[i] for s, i in code.items()}, {s: caps[i] for s, i in code.items()}, float(total))
-    hashed = lambda *c: (F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    fraction = F.col("weight") - F.floor("weight")
-    chain = Window.partitionBy("source", "_chain").orderBy("language", "topic").rowsBetween(Window.unboundedPreceding, -1)
-    ends = hashed("source", "_chain") + F.coalesce(F.sum(F.col("docs") * fraction).over(chain), F.lit(0.0))
-    table = table.withColumn("_chain", F.pmod(F.xxhash64(*key), F.lit(max(1, -(-n // DRAW_ROWS))))).withColumn("_phase", ends - F.floor(ends))
-    table = table.select(*key, "weight", "_phase", F.greatest(F.lit(1), F.ceil(F.col("docs") / DRAW_ROWS)).cast("bigint").alias("parts"))
-    weighted = docs.join(F.broadcast(table) if few else table, key).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("parts")))
-    order = Window.partitionBy(*key, "part").orderBy("tokens", "doc_id")
-    # the parts of a large cell start on their own
-    phase = F.when(F.col("parts") == 1, F.col("_phase")).otherwise(hashed(*key, "part"))
-    drawn = weighted.withColumn("_n", F.row_number().over(order)).withColumn("copies", (F.floor("weight") + F.floor(F.col("_n") * fraction + phase) - F.floor((F.col("_n") - 1) * fraction + phase)).cast("bigint"))
+    weighted = docs.join(F.broadcast(table.select(*key, "weight")) if few else table.select(*key, "weight"), key)
+    weighted = weighted.select("doc_id", "source", "tokens", "weight", F.xxhash64("doc_id", F.lit(seed)).alias("_h"), F.round((F.col("weight") - F.floor("weight")) * UNIT).cast("bigint").alias("_part"))
+    summed = running_sums(weighted, ["source"], ["tokens", "_h", "doc_id"], "_part", "_upto").withColumn("_phase", F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(UNIT)))
+    drawn = summed.withColumn("copies", (F.floor("weight") + F.shiftright(F.col("_upto") + F.col("_phase"), 24) - F.shiftright(F.col("_upto") - F.col("_part") + F.col("_phase"), 24)).cast("bigint"))
     return drawn.where("copies > 0").select("doc_id", "source", "tokens", "weight", "copies")
 
 

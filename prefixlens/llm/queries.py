@@ -142,7 +142,7 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
 
 def _p7(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, base, "documents").select(
-        "doc_id", "source", F.lower(F.split(clean_key("lang"), "[-_]")[0]).alias("language"), clean_key("endpoint_key").alias("topic"), "text"
+        "doc_id", "source", language.language_code(F.col("lang")).alias("language"), clean_key("endpoint_key").alias("topic"), "text"
     )
     docs = spread(docs)
     targets = table(spark, base, "mix_targets")
