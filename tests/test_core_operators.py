@@ -138,3 +138,16 @@ def test_running_sums_match_plain_ones(spark):
         want[i] = sums[k]
     assert got == want
     assert running_sums(df.limit(0), ["k"], ["t", "i"], "v", "s").count() == 0
+
+
+def test_percentiles_of_values_far_apart(spark):
+    rnd = random.Random(4)
+    near = [2**62 + rnd.randint(0, 2**50) for _ in range(300)] + [-(2**63), -(2**63) + 1, 2**63 - 1, 0, -1]
+    rows = [("wide", v) for v in near] + [("one", 7)] * 5 + [(None, -(2**40) - i) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    qs = (0.001, 0.01, 0.25, 0.5, 0.99, 1.0)
+    got = {r["k"]: r for r in weighted_stats(df, ["k"], "v", qs).collect()}
+    for k in ("wide", "one", None):
+        vs = sorted(v for x, v in rows if x == k)
+        for q, name in zip(qs, ("p0_1", "p1", "p25", "p50", "p99", "p100")):
+            assert got[k][name] == vs[max(-(-int(round(q * 1000)) * len(vs) // 1000), 1) - 1]
