@@ -89,7 +89,8 @@ def _percentiles(packed: DataFrame, ks: list[str], percentiles: tuple[float, ...
         F.explode(F.array(*[F.struct(F.lit(f"p{_name(q)}").alias("q"), F.greatest(F.ceil(F.lit(repr(q)).cast("decimal(20,10)") * F.col("n")).cast("bigint"), F.lit(1).cast("bigint")).alias("r")) for q in qs])).alias("t"),
     ).select(*ks, "t.q", "t.r")
     bins = packed.groupBy(*ks, F.col("leaf").alias("bin")).agg(F.sum("w").alias("bw"), F.max("left").alias("left"))
-    state = _found(bins, ranks, ks, [], ["left"]).withColumnRenamed("bin", "leaf")
+    # written, so that the planner knows it to be small, where it is
+    state = written(_found(bins, ranks, ks, [], ["left"]).withColumnRenamed("bin", "leaf"), "weighted-ranks")
     shift = F.greatest(F.col("left") - STEP, F.lit(0))
     up = None
     while True:
