@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefixlens.operators.ordering import row_numbers, with_previous
+from prefixlens.operators.ordering import with_neighbours, with_previous
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -40,10 +40,12 @@ def cache_metrics(records: DataFrame) -> DataFrame:
     prompt tokens where usage was reported, else the bytes shared with the payload before over all bytes.
     """
     rows = records.select("request_id", "session_key", "input_line", "captured_at", "source", "response_usage", "payload", F.coalesce("captured_at", F.lit("")).alias("_at"))
-    ordered = row_numbers(rows, ["session_key"], ["_at", "input_line"], "sequence")
-    paired = with_previous(ordered, ["session_key"], "sequence", ["payload"])
-    paired = paired.withColumn("lcp", byte_lcp(F.col("payload"), F.col("prev_payload"))).withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).drop("payload", "prev_payload")
-    return with_deltas(paired)
+    kept = ("request_id", "session_key", "captured_at", "source", "response_usage")
+
+    def measure(pairs: DataFrame) -> DataFrame:
+        return pairs.select(*kept, byte_lcp(F.col("payload"), F.col("prev_payload")).alias("lcp"), F.octet_length("payload").cast("bigint").alias("payload_bytes"), "_place")
+
+    return with_deltas(with_neighbours(rows, ["session_key"], ["_at", "input_line"], "sequence", measure))
 
 
 def with_deltas(rows: DataFrame) -> DataFrame:

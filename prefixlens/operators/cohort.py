@@ -6,7 +6,8 @@ agree with a few boundary members, then the rest is searched again.
 
 A domain with more variants than ``TASK_VARIANTS`` is not brought into one task. There, each round of the
 search is a distributed pass for all such domains together: the seed is the first members by id (bounded),
-the centre and the validators (at most eight a domain) are joined to the pool's rows where they lie.
+and each variant's units, which stay in one table, are scored against the centre and the validators (at most
+eight a domain). What is written between rounds are ids. Both ways give equal results.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefixlens.operators.metric import PairMetric, Profile, accepts
+from prefixlens.operators.ordering import row_numbers
 from prefixlens.operators.projection import ADAPTER, DIALECT, DOMAIN, SCHEMA
 from prefixlens.options import AnalysisOptions
 from prefixlens.sources.tables import written
@@ -137,7 +139,7 @@ def _variants(seqs: DataFrame) -> DataFrame:
 def find_cohorts(seqs: DataFrame, options: AnalysisOptions = AnalysisOptions(), mode: str = "compat", task_variants: int = TASK_VARIANTS) -> DataFrame:
     """COHORTS rows: one per cohort member, and one with skip_members per domain whose budget ran out."""
     rows = written(_variants(seqs), "variants")
-    sizes = rows.groupBy(*DOMAIN).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("variant").alias("distinct")).where(F.col("n") >= options.min_template_members)
+    sizes = rows.groupBy(*DOMAIN).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("variant").alias("distinct")).where(F.col("n") >= options.min_template_members)
     marked = _join_domain(rows, sizes.select(*DOMAIN, (F.col("distinct") > task_variants).alias("large")))
     # one representative of each variant carries the units; the other members are ids only
     representative = marked.groupBy(*DOMAIN, "variant", "large").agg(F.min("request_id").alias("request_id")).drop("large")
@@ -148,7 +150,9 @@ def find_cohorts(seqs: DataFrame, options: AnalysisOptions = AnalysisOptions(),
     found = grouped.groupBy(*DOMAIN).applyInPandas(lambda pdf: _search(pdf.sort_values("request_id", kind="stable"), options, mode), COHORTS)
     if sizes.where(F.col("distinct") > task_variants).isEmpty():
         return found
-    return found.unionByName(_rounds(_join_on(slim.where("large").drop("carries"), units, [*DOMAIN, "variant", "request_id"], "inner"), options, mode))
+    pool = slim.where("large").select(*DOMAIN, "request_id", "variant")
+    carried = _join_on(slim.where("large AND carries").select(*DOMAIN, "variant", "request_id"), units, [*DOMAIN, "variant", "request_id"], "inner").drop("request_id")
+    return found.unionByName(_rounds(pool, written(carried, "variant-units"), options, mode))
 
 
 def _join_on(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -181,26 +185,30 @@ def _search(pdf: pd.DataFrame, options: AnalysisOptions, mode: str) -> pd.DataFr
     return pd.DataFrame(out, columns=_COLUMNS)
 
 
-def _rounds(pool: DataFrame, options: AnalysisOptions, mode: str) -> DataFrame:
-    """The same search for large domains, one distributed pass per centre."""
+def _rounds(pool: DataFrame, units: DataFrame, options: AnalysisOptions, mode: str) -> DataFrame:
+    """The same search for large domains, one distributed pass per centre.
+
+    ``pool``: members (domain, request_id, variant); ``units``: the units of each variant, a written table.
+    """
     pool, found = written(pool, "pool"), []
+    by_variant = [*DOMAIN, "variant"]
     first = Window.partitionBy(*DOMAIN).orderBy("request_id")
-    score_ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pool.schema.fields) + ", compat double, dynamic double, ok boolean"
 
-    def against(rows: DataFrame, judges: DataFrame) -> DataFrame:
-        """Rows with the pair metric to each of their domain's judges (at most eight rows a domain)."""
-        paired = _join_domain(rows, judges.select(*DOMAIN, F.col("units").alias("_judge")))
+    def against(variants: DataFrame, judges: DataFrame) -> DataFrame:
+        """(domain, variant, compat, dynamic, ok): each variant with each of its domain's judges."""
+        other = _join_on(judges.select(*by_variant), units, by_variant, "inner").select(*DOMAIN, F.col("units").alias("_judge"))
+        paired = _join_domain(_join_on(variants.select(*by_variant), units, by_variant, "inner"), other)
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             metric = PairMetric(mode)
             for f in frames:
                 pairs = [metric(Profile.of(list(j)), Profile.of(list(u))) for j, u in zip(f["_judge"], f["units"])]
-                f = f.drop(columns="_judge")
+                f = f.drop(columns=["_judge", "units"])
                 yield f.assign(compat=[p[0] for p in pairs], dynamic=[p[1] for p in pairs], ok=[accepts(p, options) for p in pairs])
                 metric.shingles.clear()
                 metric.sizes.clear()
 
-        return paired.mapInPandas(run, score_ddl)
+        return paired.mapInPandas(run, f"{_DOMAIN_DDL}, variant string, compat double, dynamic double, ok boolean")
 
     def centre_of(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("request_id", kind="stable")
@@ -216,27 +224,34 @@ def _rounds(pool: DataFrame, options: AnalysisOptions, mode: str) -> DataFrame:
                 memo[key] = (pair, accepts(pair, options))
             return memo[key]
 
-        return pdf.iloc[[best_centre(seed, score)]]
+        best = pdf.iloc[[best_centre(seed, score)]]
+        return best.drop(columns="units").assign(signature=structure_signature(list(best["units"].iloc[0])))
 
-    pool_ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pool.schema.fields)
     for _ in range(options.max_candidates_per_request):
         alive = pool.groupBy(*DOMAIN).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= options.min_template_members).drop("_n")
         if alive.isEmpty():
             return _named(found, pool)
         pool = _join_domain(pool, alive)
+        # a bound on the row number keeps that many rows per task and domain only
         seed = pool.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= options.max_candidates_per_request + 1).drop("_r")
-        centres = written(seed.groupBy(*DOMAIN).applyInPandas(centre_of, pool_ddl), "centres")
-        near = written(against(pool, centres).where("ok").drop("ok"), "near")
+        seed = _join_on(seed, units, by_variant, "inner")
+        centres = written(seed.groupBy(*DOMAIN).applyInPandas(centre_of, f"{_DOMAIN_DDL}, request_id string, variant string, signature string"), "centres")
+        scored = written(against(pool.select(*by_variant).distinct(), centres).where("ok").drop("ok"), "scored")
+        near = written(_join_on(pool, scored, by_variant, "inner"), "near")
+        boundary = Window.partitionBy(*DOMAIN).orderBy("compat", F.desc("dynamic"), "request_id")
+        least = near.withColumn("_k", F.row_number().over(boundary)).where(F.col("_k") <= 4).select(*by_variant, "request_id", "_k")
         total = near.groupBy(*DOMAIN).agg(F.count(F.lit(1)).alias("_n"))
-        ranked = _join_domain(near, total).withColumn("_b", F.row_number().over(Window.partitionBy(*DOMAIN).orderBy("compat", F.desc("dynamic"), "request_id"))).withColumn("_i", F.row_number().over(first) - 1)
-        quartile = F.array(*[F.floor(F.lit(q) * (F.col("_n") - 1) / 4) for q in range(5)])
-        judges = ranked.where((F.col("_b") <= 4) | F.array_contains(quartile, F.col("_i").cast("bigint")))
-        judges = judges.withColumn("_k", F.row_number().over(Window.partitionBy(*DOMAIN).orderBy(F.col("_b") > 4, F.when(F.col("_b") > 4, F.col("_i")).otherwise(F.col("_b"))))).where(F.col("_k") <= VALIDATORS).select(*pool.columns)
-        agreed = against(near.select(*pool.columns), judges).groupBy(*DOMAIN, "request_id").agg(F.bool_and("ok").alias("_ok")).where("_ok").drop("_ok")
-        kept = _join_on(near.drop("units"), agreed, [*DOMAIN, "request_id"], "inner")
-        enough = kept.groupBy(*DOMAIN).agg(F.count(F.lit(1)).alias("_m"), F.avg("compat").alias("cohesion")).where(F.col("_m") >= options.min_template_members).drop("_m")
-        cohort = _join_domain(_join_domain(kept, enough), centres.select(*DOMAIN, F.col("request_id").alias("medoid_request_id"), F.col("units").alias("_mu")))
-        cohort = written(cohort, "cohort-round")
+        numbered = _join_domain(row_numbers(near.select(*by_variant, "request_id"), list(DOMAIN), ["request_id"], "_i"), total)
+        quartile = F.array(*[F.floor(F.lit(q) * (F.col("_n") - 1) / 4) + 1 for q in range(5)])
+        spread_ = numbered.where(F.array_contains(quartile, F.col("_i"))).select(*by_variant, "request_id", (F.col("_i") + 4).alias("_k"))
+        # at most nine rows a domain
+        chosen = least.unionByName(spread_).groupBy(*by_variant, "request_id").agg(F.min("_k").alias("_k"))
+        judges = chosen.withColumn("_j", F.row_number().over(Window.partitionBy(*DOMAIN).orderBy("_k"))).where(F.col("_j") <= VALIDATORS).select(*by_variant).distinct()
+        agreed = against(scored, written(judges, "judges")).groupBy(*by_variant).agg(F.bool_and("ok").alias("_ok")).where("_ok").drop("_ok")
+        kept = _join_on(near, agreed, by_variant, "inner")
+        enough = kept.groupBy(*DOMAIN).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") >= options.min_template_members).drop("_m")
+        cohort = _join_domain(_join_domain(kept, enough), centres.select(*DOMAIN, F.col("request_id").alias("medoid_request_id"), "signature"))
+        cohort = written(cohort.select(*DOMAIN, "request_id", "compat", "medoid_request_id", "signature"), "cohort-round")
         found.append(cohort)
         gone = cohort.select(*DOMAIN, "request_id").unionByName(centres.select(*DOMAIN, "request_id")).distinct()
         on = reduce(lambda x, y: x & y, [F.col(f"p.{k}").eqNullSafe(F.col(f"g.{k}")) for k in [*DOMAIN, "request_id"]])
@@ -245,7 +260,7 @@ def _rounds(pool: DataFrame, options: AnalysisOptions, mode: str) -> DataFrame:
 
 
 def _named(found: list[DataFrame], pool: DataFrame, least: int | None = None) -> DataFrame:
-    """Rows of all rounds with the cohort's id, a digest over its member ids streamed in order."""
+    """Rows of all rounds with the cohort's id, a digest over its member ids in order, and its mean in that order."""
     out = None
     if found:
         rows = reduce(DataFrame.unionByName, found)
@@ -254,13 +269,11 @@ def _named(found: list[DataFrame], pool: DataFrame, least: int | None = None) ->
             pdf = pdf.sort_values("request_id", kind="stable")
             domain = {k: None if pd.isna(pdf[k].iloc[0]) else pdf[k].iloc[0] for k in DOMAIN}
             domain["time_window_key"] = int(domain["time_window_key"])
-            units = next(u for u in pdf["_mu"] if u is not None)
-            cid = cohort_id(domain, structure_signature(list(units)), list(pdf["request_id"]))
-            return pdf.assign(cohort_id=cid, compatibility=pdf["compat"], skip_members=None)[_COLUMNS]
+            cid = cohort_id(domain, pdf["signature"].iloc[0], list(pdf["request_id"]))
+            return pdf.assign(cohort_id=cid, compatibility=pdf["compat"], cohesion=sum(pdf["compat"].tolist()) / len(pdf), skip_members=None)[_COLUMNS]
 
-        # the centre's units ride on one row of each cohort
-        lead = F.when(F.row_number().over(Window.partitionBy(*DOMAIN, "medoid_request_id").orderBy("request_id")) == 1, F.col("_mu"))
-        out = rows.withColumn("_mu", lead).select(*DOMAIN, "medoid_request_id", "request_id", "compat", "cohesion", "_mu").groupBy(*DOMAIN, "medoid_request_id").applyInPandas(name, COHORTS)
+        # ids and numbers only
+        out = rows.groupBy(*DOMAIN, "medoid_request_id").applyInPandas(name, COHORTS)
     left = pool.limit(0) if least is None else pool
     rest = left.groupBy(*DOMAIN).agg(F.count(F.lit(1)).alias("skip_members"))
     if least is not None:

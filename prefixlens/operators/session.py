@@ -1,7 +1,7 @@
 """Sessions turn by turn: how each request continues the one before it.
 
-Requests of a session are numbered by instant (unparsable first), then line, over any session size; pairs
-come from an equi-join on the number. The measures of a pair are native expressions over slim unit arrays.
+Requests of a session are sorted by instant (unparsable first), then line, over any session size, and each is
+measured against the one before it where it lies. The measures are native expressions over slim unit arrays.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from prefixlens.functions.strings import saturating_sub
 from prefixlens.functions.times import rfc3339_nanos
-from prefixlens.operators.ordering import row_numbers, with_previous
+from prefixlens.operators.ordering import with_neighbours, with_previous
 from prefixlens.operators.projection import CONTENT_KINDS
 
 DOMAIN_KEYS = ("endpoint_key", "model", "model_deployment_key", "agent_key", "kv_namespace")
@@ -88,18 +88,8 @@ def _recovered(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, schema)
 
 
-def session_order(seqs: DataFrame) -> DataFrame:
-    """Sequences with a session key, slim, numbered in session order."""
-    rows = seqs.where(F.col("session_key").isNotNull()).select(
-        "session_key", rfc3339_nanos("captured_at").alias("ts"), "input_line", "request_id", *DOMAIN_KEYS, slim_units(F.col("units")).alias("u"), block_runs(F.col("units")).alias("runs")
-    )
-    return row_numbers(rows, ["session_key"], ["ts", "input_line"], "seq")
-
-
-def session_events(seqs: DataFrame) -> DataFrame:
-    """One row per consecutive pair of requests of a session."""
-    ordered = session_order(seqs)
-    pairs = with_previous(ordered, ["session_key"], "seq", ["request_id", "u", *DOMAIN_KEYS]).where(F.col("prev_request_id").isNotNull())
+def _measures(pairs: DataFrame) -> DataFrame:
+    """What each request has in common with the one before it; nulls where there is none."""
     p, n = F.col("prev_u"), F.col("u")
     pc, nc = F.filter(p, lambda x: x["content"]), F.filter(n, lambda x: x["content"])
     pairs = pairs.withColumns({"lcp_units": array_lcp(_fps(p), _fps(n)), "pc": _fps(pc), "nc": _fps(nc), "previous_total_bytes": _bytes(pc), "next_total_bytes": _bytes(n)})
@@ -115,12 +105,20 @@ def session_events(seqs: DataFrame) -> DataFrame:
     for k in DOMAIN_KEYS:
         domain = domain | ~F.col(k).eqNullSafe(F.col(f"prev_{k}"))
     measured = pairs.select(
-        "session_key", event.alias("event_type"), (F.col("seq") - 1).alias("previous_sequence"), F.col("seq").alias("next_sequence"), F.col("prev_request_id"), F.col("request_id").alias("next_request_id"),
+        "session_key", event.alias("event_type"), "prev_request_id", F.col("request_id").alias("next_request_id"),
         "lcp_units", _bytes(F.slice(p, F.lit(1), F.col("lcp_units").cast("int"))).alias("lcp_bytes"), "previous_total_bytes", _bytes(F.slice(pc, F.lit(1), kept.cast("int"))).alias("retained_prefix_bytes"),
-        domain.alias("domain_changed"), "next_total_bytes", F.col("runs").alias("next_block_runs"), "endpoint_key", "model", "prev_endpoint_key", "prev_model",
+        domain.alias("domain_changed"), "next_total_bytes", F.col("runs").alias("next_block_runs"), "prev_endpoint_key", "prev_model", "_place",
         F.slice(p, start, F.greatest(F.size(p), F.lit(1))).alias("_old"), F.slice(n, start, F.greatest(F.size(n), F.lit(1))).alias("_new"),
     )
-    found = _recovered(measured)
+    return _recovered(measured)
+
+
+def session_events(seqs: DataFrame) -> DataFrame:
+    """One row per consecutive pair of requests of a session, in order of instant, then line."""
+    rows = seqs.where(F.col("session_key").isNotNull()).select(
+        "session_key", rfc3339_nanos("captured_at").alias("ts"), "input_line", "request_id", *DOMAIN_KEYS, slim_units(F.col("units")).alias("u"), block_runs(F.col("units")).alias("runs")
+    )
+    found = with_neighbours(rows, ["session_key"], ["ts", "input_line"], "next_sequence", _measures).where("prev_request_id IS NOT NULL").withColumn("previous_sequence", F.col("next_sequence") - 1)
     found = with_previous(found, ["session_key"], "next_sequence", ["lcp_bytes"], "before_")
     before = F.coalesce("before_lcp_bytes", _zero())
     abandoned = saturating_sub(F.col("previous_total_bytes"), F.col("retained_prefix_bytes"))

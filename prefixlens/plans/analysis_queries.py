@@ -24,7 +24,7 @@ def _loaded(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _projected(spark: SparkSession, base: str) -> DataFrame:
-    return written(projection.project(R.identified(_loaded(spark, base)), OPTIONS), "projected")
+    return R.numbered(written(projection.project(R.hashed(_loaded(spark, base)), OPTIONS), "projected"))
 
 
 def _events(spark: SparkSession, base: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prefixlens.functions.strings import safe_ratio
 from prefixlens.operators import cache
+from prefixlens.operators.ordering import row_numbers
 
 #: Product target of structural reuse, entries of the cross-check, collapsed session rows (fixed values).
 TARGET, CROSS_CHECK, COLLAPSED = 0.9, 8, 8
@@ -70,9 +71,11 @@ def sessions(r: Relations) -> DataFrame:
     """One row per session with what its table shows."""
     e, s = r["session_events"], r["session_reports"]
     modern = F.coalesce("modern", F.lit(True)) if "modern" in s.columns else F.lit(True)
-    position = F.row_number().over(Window.partitionBy("session_key").orderBy("next_sequence", "next_request_id"))
-    e = e.withColumn("_i", position)
-    numbered = e.withColumns({"previous_sequence": F.when(F.col("previous_sequence") > 0, F.col("previous_sequence")).otherwise(F.col("_i")), "next_sequence": F.when(F.col("next_sequence") > 0, F.col("next_sequence")).otherwise(F.col("_i") + 1)})
+    numbered = e
+    if not e.where("previous_sequence <= 0 OR next_sequence <= 0").isEmpty():
+        # older files leave turns without numbers
+        at = row_numbers(e, ["session_key"], ["next_sequence", "next_request_id"], "_i")
+        numbered = at.withColumns({"previous_sequence": F.when(F.col("previous_sequence") > 0, F.col("previous_sequence")).otherwise(F.col("_i")), "next_sequence": F.when(F.col("next_sequence") > 0, F.col("next_sequence")).otherwise(F.col("_i") + 1)})
     refresh = F.col("prefix_reuse_outlier") | (F.col("prefix_reuse_ratio").isNull() & (F.col("event_type") != "append"))
     per = numbered.groupBy("session_key").agg(F.min("prefix_reuse_ratio").alias("least_reuse"), F.min(F.when(refresh, F.struct("previous_sequence", "next_sequence"))).alias("first_refresh"))
     rows = s.withColumn("_modern", modern).join(per, "session_key", "left")
@@ -102,9 +105,8 @@ def event_details(r: Relations) -> DataFrame:
 
 def cache_table(metrics: DataFrame) -> DataFrame:
     """Cache rows in session order; ``group`` counts up where the session changes."""
-    order = Window.orderBy(F.col("session_key").asc_nulls_first(), "sequence")
-    change = F.when(F.col("session_key").eqNullSafe(F.lag("session_key").over(order)) & (F.row_number().over(order) > 1), 0).otherwise(1)
-    return metrics.withColumn("_c", change).withColumn("group", F.sum("_c").over(order)).drop("_c")
+    groups = row_numbers(metrics.select(F.col("session_key").alias("_key")).distinct(), [], ["_key"], "group")
+    return metrics.join(groups, F.col("session_key").eqNullSafe(F.col("_key"))).drop("_key").orderBy("group", "sequence")
 
 
 def template_totals(nodes: DataFrame) -> DataFrame:

@@ -188,16 +188,26 @@ def _budget(records: DataFrame, lines: DataFrame, options: AnalysisOptions) -> D
     return cut.unionByName(records.where(F.col("skip_code").isNotNull()))
 
 
-def identified(records: DataFrame) -> DataFrame:
-    """Accepted records with request_id: content hash and 0-based occurrence in line order.
+def hashed(records: DataFrame) -> DataFrame:
+    """Accepted records; request_id is their content hash until ``numbered``."""
+    return records.where(F.col("skip_code").isNull()).drop("skip_code", "skip_args").withColumnRenamed("id_hash", "request_id")
+
+
+def numbered(records: DataFrame) -> DataFrame:
+    """request_id completed by the 0-based occurrence of the content in line order. ``records`` is a written table.
 
     Only content that repeats is numbered, on narrow rows.
     """
-    accepted = written(records.where(F.col("skip_code").isNull()).drop("skip_code", "skip_args"), "accepted")
-    narrow = accepted.select("id_hash", "input_line")
-    repeated = narrow.join(narrow.groupBy("id_hash").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("id_hash"), "id_hash")
-    numbers = row_numbers(repeated, ["id_hash"], ["input_line"], "_n").select("input_line", "_n")
-    return accepted.join(numbers, "input_line", "left").withColumn("request_id", F.concat("id_hash", F.lit(":"), F.coalesce(F.col("_n") - 1, F.lit(0)).cast("string"))).drop("_n", "id_hash")
+    narrow = records.select(F.col("request_id").alias("h"), "input_line")
+    repeated = narrow.join(narrow.groupBy("h").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("h"), "h")
+    numbers = row_numbers(repeated, ["h"], ["input_line"], "_n").select("input_line", "_n")
+    number = F.coalesce(F.col("_n") - 1, F.lit(0)).cast("string")
+    return records.join(numbers, "input_line", "left").withColumn("request_id", F.concat("request_id", F.lit(":"), number)).drop("_n")
+
+
+def identified(records: DataFrame) -> DataFrame:
+    """Accepted records with request_id: content hash and occurrence."""
+    return numbered(written(hashed(records), "accepted"))
 
 
 def skip_text(phase: str, code: Column, args: Column) -> Column:

@@ -33,14 +33,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write df once into the shared folder and read it back: cuts the lineage, survives lost executors.
 
     Unlike checkpoint() the copy is columnar, so later readers fetch only the columns they need. The table
-    stays until ``drop_written``, as lazy results read it.
+    stays until ``drop_written`` or the end of the driver's JVM, as lazy results read it.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     _written.append(path)
     df.write.parquet(path)
+    files, at = _files(df.sparkSession, path)
+    files.deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path in it."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(context._jsc.hadoopConfiguration()), at
+
+
 def last_written() -> str:
     """The path of the table written last."""
     return _written[-1]
@@ -48,12 +57,11 @@ def last_written() -> str:
 
 def drop_written(spark: SparkSession, paths: list[str] | None = None) -> int:
     """Delete all tables this process has written, or these; results still reading them are lost. Returns how many."""
-    context = spark.sparkContext
     gone = list(_written if paths is None else paths)
     for p in gone:
         _written.remove(p)
-        path = context._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        files, at = _files(spark, p)
+        files.delete(at, True)
     return len(gone)
 
 

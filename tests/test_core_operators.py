@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prefixlens.operators import flatten as FL
-from prefixlens.operators.ordering import row_numbers, running_sums, with_previous
+from prefixlens.operators.ordering import row_numbers, running_sums, with_neighbours, with_previous
 from prefixlens.operators.weighted import heavy_keys, weighted_stats
 
 
@@ -151,3 +151,21 @@ def test_percentiles_of_values_far_apart(spark):
         vs = sorted(v for x, v in rows if x == k)
         for q, name in zip(qs, ("p0_1", "p1", "p25", "p50", "p99", "p100")):
             assert got[k][name] == vs[max(-(-int(round(q * 1000)) * len(vs) // 1000), 1) - 1]
+
+
+def test_neighbours_over_partition_borders(spark):
+    rnd = random.Random(5)
+    rows = [(None if rnd.random() < 0.1 else "hot" if rnd.random() < 0.7 else f"k{rnd.randint(0, 5)}", i, [f"x{i}"] * (i % 3)) for i in rnd.sample(range(1000), 400)]
+    df = spark.createDataFrame(rows, "k string, i long, xs array<string>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = {r.i: (r.prev_i, r.prev_xs, r.n) for r in with_neighbours(df.repartition(5), ["k"], ["i"], "n", lambda p: p.select("k", "i", "prev_i", "prev_xs", "_place")).collect()}
+        empty = with_neighbours(df.limit(0), ["k"], ["i"], "n", lambda p: p.select("k", "prev_i", "_place")).count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for group in _grouped(rows).values():
+        ordered = sorted(group, key=lambda r: r[1])
+        for n, r in enumerate(ordered, 1):
+            want[r[1]] = (*(ordered[n - 2][1:] if n > 1 else (None, None)), n)
+    assert got == want and empty == 0
