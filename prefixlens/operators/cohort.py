@@ -155,6 +155,26 @@ def find_cohorts(seqs: DataFrame, options: AnalysisOptions = AnalysisOptions(),
     return found.unionByName(_rounds(pool, written(carried, "variant-units"), options, mode))
 
 
+def seed_scores(seqs: DataFrame, options: AnalysisOptions = AnalysisOptions(), mode: str = "compat") -> DataFrame:
+    """(domain, a, b, compatibility, dynamic, accepted): the pair metric between the seed members of every domain.
+
+    The seed is the first members by id, as many as the search looks at for one centre.
+    """
+    alive = seqs.groupBy(*DOMAIN).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= options.min_template_members).drop("_n")
+    place = F.row_number().over(Window.partitionBy(*DOMAIN).orderBy("request_id"))
+    ids = _join_domain(seqs.select(*DOMAIN, "request_id"), alive).withColumn("_r", place).where(F.col("_r") <= options.max_candidates_per_request + 1).drop("_r")
+    seed = _join_on(ids, seqs.select(*DOMAIN, "request_id", "units"), [*DOMAIN, "request_id"], "inner")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("request_id", kind="stable")
+        metric, profiles, ids = PairMetric(mode), [Profile.of(list(u)) for u in pdf["units"]], list(pdf["request_id"])
+        domain = tuple(None if pd.isna(pdf[k].iloc[0]) else pdf[k].iloc[0] for k in DOMAIN)
+        rows = [(*domain, ids[i], ids[j], *pair, accepts(pair, options)) for i in range(len(ids)) for j in range(i + 1, len(ids)) for pair in (metric(profiles[i], profiles[j]),)]
+        return pd.DataFrame(rows, columns=[*DOMAIN, "a", "b", "compatibility", "dynamic", "accepted"])
+
+    return seed.groupBy(*DOMAIN).applyInPandas(run, f"{_DOMAIN_DDL}, a string, b string, compatibility double, dynamic double, accepted boolean")
+
+
 def _join_on(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
     on = reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
     return a.alias("a").join(b.alias("b"), on, how).select("a.*", *[F.col(f"b.{c}") for c in b.columns if c not in keys])

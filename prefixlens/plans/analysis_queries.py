@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,22 +21,26 @@ from prefixlens.sources.tables import table, written
 OPTIONS = AnalysisOptions(max_records=(1 << 63) - 1)
 
 
+#: The same with domains of two weeks, in which there is more to compare.
+TWO_WEEKS = dataclasses.replace(OPTIONS, comparison_window_seconds=14 * 86400)
+
+
 def _loaded(spark: SparkSession, base: str) -> DataFrame:
     return R.load_requests(table(spark, base, "requests"), OPTIONS)
 
 
-def _projected(spark: SparkSession, base: str) -> DataFrame:
-    return R.numbered(written(projection.project(R.hashed(_loaded(spark, base)), OPTIONS), "projected"))
+def _projected(spark: SparkSession, base: str, options: AnalysisOptions = OPTIONS) -> DataFrame:
+    return R.numbered(written(projection.project(R.hashed(_loaded(spark, base)), options), "projected"))
 
 
 def _events(spark: SparkSession, base: str) -> DataFrame:
     return session.session_events(projection.sequences(_projected(spark, base)))
 
 
-def _templates(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    seqs = projection.sequences(_projected(spark, base))
-    cohorts = written(cohort.find_cohorts(seqs, OPTIONS), "cohorts")
-    return seqs, cohorts, extract.extract_templates(cohorts, seqs, OPTIONS)
+def _templates(spark: SparkSession, base: str, options: AnalysisOptions = OPTIONS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    seqs = projection.sequences(_projected(spark, base, options))
+    cohorts = written(cohort.find_cohorts(seqs, options), "cohorts")
+    return seqs, cohorts, extract.extract_templates(cohorts, seqs, options)
 
 
 def line_skips(spark: SparkSession, base: str) -> DataFrame:
@@ -124,9 +130,28 @@ def tool_overlap(spark: SparkSession, base: str) -> DataFrame:
     return turns.select("session_key", "sequence", "input_line", (F.size(F.array_intersect("names", "prev_names")) / F.size(F.array_union("names", "prev_names"))).alias("jaccard"))
 
 
+def _listed(found: DataFrame) -> DataFrame:
+    """Members of cohorts, their scores to nine digits."""
+    return found.where("cohort_id IS NOT NULL").select("cohort_id", "medoid_request_id", "request_id", F.round("compatibility", 9).alias("compatibility"), F.round("cohesion", 9).alias("cohesion"))
+
+
 def cohorts(spark: SparkSession, base: str) -> DataFrame:
     seqs = projection.sequences(_projected(spark, base))
-    return cohort.find_cohorts(seqs, OPTIONS).where("cohort_id IS NOT NULL").select("cohort_id", "medoid_request_id", "request_id", "compatibility", "cohesion")
+    return _listed(cohort.find_cohorts(seqs, OPTIONS))
+
+
+def pair_scores(spark: SparkSession, base: str) -> DataFrame:
+    """The pair metric between the seed members of every domain of two weeks; scores to nine digits."""
+    found = cohort.seed_scores(projection.sequences(_projected(spark, base, TWO_WEEKS)), TWO_WEEKS)
+    return found.select("time_window_key", "endpoint_key", "model", "a", "b", F.round("compatibility", 9).alias("compatibility"), F.round("dynamic", 9).alias("dynamic"), "accepted")
+
+
+def cohorts_two_weeks(spark: SparkSession, base: str) -> DataFrame:
+    return _listed(cohort.find_cohorts(projection.sequences(_projected(spark, base, TWO_WEEKS)), TWO_WEEKS))
+
+
+def defects_two_weeks(spark: SparkSession, base: str) -> DataFrame:
+    return rank.rank_defects(rank.candidates(_templates(spark, base, TWO_WEEKS)[2]))
 
 
 def templates(spark: SparkSession, base: str) -> DataFrame:
@@ -207,7 +232,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         line_skips, request_ids, unit_projection, unit_counts, projection_skips, domain_windows, cache_metrics_reported, usage_by_session, cache_metrics_estimated, session_turns,
-        session_events, session_reports, prefix_reuse_total, prefix_reuse_by_session, tool_overlap, cohorts, templates, bindings, defects, top_defects, prefix_nodes, reuse_requests,
+        session_events, session_reports, prefix_reuse_total, prefix_reuse_by_session, tool_overlap, pair_scores, cohorts, cohorts_two_weeks, templates, bindings, defects, defects_two_weeks, top_defects, prefix_nodes, reuse_requests,
         session_attention, session_overview, reuse_gauge, cross_check, template_totals, decay, integrity,
     )
 }

@@ -265,3 +265,86 @@ SQL |= {
         reported AS (SELECT session_key, {_RATIO('sum(cached_tokens)', 'sum(prompt_tokens)')} AS real_ratio, count(*) AS reported_rows FROM metrics WHERE basis = 'reported' AND session_key IS NOT NULL GROUP BY 1)
         SELECT session_key, ratio AS structural_ratio, real_ratio, reported_rows, abs(ratio - real_ratio) AS difference FROM reuse JOIN reported USING (session_key) ORDER BY difference DESC, session_key LIMIT 8""",
 }
+
+# the pair metric between the first members of a domain
+_SEED = LIMITS.max_candidates_per_request + 1
+_DIGIT = lambda at: f"(instr('0123456789ABCDEF', substr(x, {at}, 1)) - 1)"
+_BYTE = lambda i: f"({_DIGIT(f'2 * ({i}) - 1')} * 16 + {_DIGIT(f'2 * ({i})')})::UBIGINT"
+_BAG = "collection, kind, alignment_key, coalesce('=' || tool_identity, '')"
+
+
+def _fnv(values: list[str]) -> str:
+    h = "14695981039346656037::UBIGINT"
+    for v in values:
+        h = f"((xor({h}, {v})::UHUGEINT * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    return h
+
+
+def _paired(width: int) -> str:
+    return f"""
+member AS (SELECT input_line, request_id, (floor(epoch({_INSTANT.replace('captured_at', 'f.captured_at')}) / {width}) * {width})::BIGINT AS time_window_key, f.p->>'$.model' AS model,
+                  {', '.join(f"{_trim(f'r.comparison.{k}')} AS {k}" for k in ('endpoint_key', 'model_deployment_key', 'agent_key', 'kv_namespace'))} FROM fits f JOIN requests r USING (input_line) JOIN ids USING (input_line)),
+seed AS (SELECT *, dense_rank() OVER (ORDER BY time_window_key, endpoint_key, model, model_deployment_key, agent_key, kv_namespace) AS dom FROM member
+         QUALIFY count(*) OVER (PARTITION BY time_window_key, endpoint_key, model, model_deployment_key, agent_key, kv_namespace) >= {LIMITS.min_template_members} AND row_number() OVER (PARTITION BY time_window_key, endpoint_key, model, model_deployment_key, agent_key, kv_namespace ORDER BY request_id) <= {_SEED}),
+two AS (SELECT a.dom, a.input_line AS la, b.input_line AS lb, a.request_id AS a, b.request_id AS b, a.time_window_key, a.endpoint_key, a.model FROM seed a JOIN seed b ON a.dom = b.dom AND a.request_id < b.request_id),
+item AS (SELECT input_line, concat_ws(chr(1), {_BAG}) AS bag, content, greatest(strlen(content), 1) AS size, row_number() OVER (PARTITION BY input_line, concat_ws(chr(1), {_BAG}), content) AS k FROM unit SEMI JOIN seed USING (input_line)),
+ia AS (SELECT la, lb, item.* EXCLUDE (input_line) FROM two JOIN item ON input_line = la),
+ib AS (SELECT la, lb, item.* EXCLUDE (input_line) FROM two JOIN item ON input_line = lb),
+bags AS (SELECT la, lb, sum(greatest(coalesce(na, 0), coalesce(nb, 0))) AS units FROM (SELECT la, lb, bag, count(*) AS na FROM ia GROUP BY ALL) FULL JOIN (SELECT la, lb, bag, count(*) AS nb FROM ib GROUP BY ALL) USING (la, lb, bag) GROUP BY ALL),
+same AS (SELECT la, lb, sum(size) AS w, count(*) AS n FROM ia SEMI JOIN ib USING (la, lb, bag, content, k) GROUP BY ALL),
+ra AS (SELECT *, row_number() OVER (PARTITION BY la, lb, bag ORDER BY content) AS r FROM ia ANTI JOIN ib USING (la, lb, bag, content, k)),
+rb AS (SELECT *, row_number() OVER (PARTITION BY la, lb, bag ORDER BY content) AS r FROM ib ANTI JOIN ia USING (la, lb, bag, content, k)),
+met AS (SELECT la, lb, x.content AS s, y.content AS t, coalesce(greatest(x.size, y.size), x.size, y.size) AS w FROM ra x FULL JOIN rb y USING (la, lb, bag, r)),
+asked AS (SELECT DISTINCT s AS c FROM met WHERE s IS NOT NULL AND t IS NOT NULL UNION SELECT DISTINCT t FROM met WHERE s IS NOT NULL AND t IS NOT NULL),
+hexed AS (SELECT c, hex(encode(c)) AS x, strlen(c) AS len FROM asked WHERE strlen(c) > 0),
+shingle AS (SELECT c, i, CASE WHEN len < 4 THEN {_BYTE('i')} ELSE {_fnv([_BYTE('i'), _BYTE('i + 1'), _BYTE('i + 2'), _BYTE('i + 3')])} END AS h FROM (SELECT *, unnest(range(1, CASE WHEN len < 4 THEN len + 1 ELSE len - 2 END)) AS i FROM hexed)),
+head AS (SELECT c, h, row_number() OVER (PARTITION BY c ORDER BY h) AS k, min(h) OVER (PARTITION BY c) AS low FROM shingle WHERE i <= 256),
+lowest AS (SELECT c, min(h) AS h FROM shingle GROUP BY 1),
+sampled AS (SELECT c, h, count(*) AS n FROM (SELECT c, h FROM head WHERE k > 1 UNION ALL SELECT c, h FROM lowest) GROUP BY ALL),
+total_of AS (SELECT c, sum(n) AS n FROM sampled GROUP BY 1),
+dice AS (SELECT s, t, CASE WHEN s = t THEN 1.0 ELSE coalesce(2.0 * sum(least(x.n, y.n)) FILTER (y.n IS NOT NULL) / any_value(p.n + q.n), 0.0) END AS d
+         FROM (SELECT DISTINCT s, t FROM met WHERE s IS NOT NULL AND t IS NOT NULL) LEFT JOIN total_of p ON p.c = s LEFT JOIN total_of q ON q.c = t LEFT JOIN sampled x ON x.c = s LEFT JOIN sampled y ON y.c = t AND y.h = x.h GROUP BY s, t),
+rest_sum AS (SELECT la, lb, sum(w) AS w, sum(CASE WHEN s IS NOT NULL AND t IS NOT NULL THEN d * w ELSE 0 END) AS alike, count(*) FILTER (s IS NOT NULL AND t IS NOT NULL) AS n FROM met LEFT JOIN dice USING (s, t) GROUP BY ALL),
+tools_of AS (SELECT input_line, coalesce(list(DISTINCT tool_identity) FILTER (tool_identity IS NOT NULL), []) AS tools FROM unit SEMI JOIN seed USING (input_line) GROUP BY 1),
+judged AS (SELECT two.*, (coalesce(same.w, 0) + coalesce(alike, 0))::DOUBLE / greatest(coalesce(same.w, 0) + coalesce(rest_sum.w, 0), 1) AS content, (coalesce(same.n, 0) + coalesce(rest_sum.n, 0))::DOUBLE / greatest(units, 1) AS structure,
+                  len(list_intersect(x.tools, y.tools)) AS common, len(list_distinct(list_concat(x.tools, y.tools))) AS known
+           FROM two JOIN bags USING (la, lb) LEFT JOIN same USING (la, lb) LEFT JOIN rest_sum USING (la, lb) JOIN tools_of x ON x.input_line = la JOIN tools_of y ON y.input_line = lb),
+scores AS (SELECT *, CASE WHEN known > 0 THEN 0.20::DOUBLE * structure + 0.15::DOUBLE * common / known + 0.65::DOUBLE * content ELSE 0.25::DOUBLE * structure + 0.75::DOUBLE * content END AS compatibility, 1 - content AS dynamic FROM judged),
+pair_of AS (SELECT *, compatibility + 1e-12 >= {LIMITS.template_compatibility_threshold} AND dynamic <= {LIMITS.max_dynamic_coverage_ratio} + 1e-12 AS accepted FROM scores)
+"""
+_SCORES = f"{_PROJECTED}, {_IDS_TOO}, {_paired(14 * 86400)}"
+SQL |= {
+    "pair_scores": f"{_SCORES} SELECT time_window_key, endpoint_key, model, a, b, round(compatibility, 9) AS compatibility, round(dynamic, 9) AS dynamic, accepted FROM pair_of",
+}
+#: The greedy search of a domain: its members as a list, the scores of its pairs as a map, a centre a step.
+_LEAST = LIMITS.min_template_members
+_OK = lambda x, y: f"mp[{x} || '|' || {y}].ok"
+_SEARCH = f"""
+each_way AS (SELECT dom, a AS x, b AS y, compatibility AS c, dynamic AS d, accepted AS ok FROM pair_of UNION ALL SELECT dom, b, a, compatibility, dynamic, accepted FROM pair_of UNION ALL SELECT dom, request_id, request_id, 1.0, 0.0, TRUE FROM seed),
+scored AS (SELECT dom, map_from_entries(list(struct_pack(k := x || '|' || y, v := struct_pack(c := c, d := d, ok := ok)))) AS mp FROM each_way GROUP BY 1),
+search(dom, members, centre, cohort) AS (
+    SELECT dom, list(request_id ORDER BY request_id), NULL::VARCHAR, NULL::VARCHAR[] FROM seed GROUP BY 1 UNION ALL
+    SELECT dom, CASE WHEN len(kept) >= {_LEAST} THEN list_filter(members, lambda x: NOT list_contains(kept, x)) ELSE list_filter(members, lambda x: x <> mid) END, mid, CASE WHEN len(kept) >= {_LEAST} THEN kept END
+    FROM (SELECT *, CASE WHEN len(near) >= {_LEAST} THEN list_filter(near, lambda x: len(list_filter(list_concat(least_, list_filter(list_sort(list_distinct([(q * (len(near) - 1)) // 4 + 1 for q in range(5)])), lambda i: NOT list_contains(least_, i)))[:8], lambda j: NOT {_OK('x', 'near[j]')})) = 0) ELSE near END AS kept
+    FROM (SELECT *, list_transform(list_sort(list_transform(range(1, len(near) + 1), lambda i: struct_pack(c := mp[mid || '|' || near[i]].c, d := -mp[mid || '|' || near[i]].d, i := i)))[:4], lambda s: s.i) AS least_
+    FROM (SELECT *, list_filter(members, lambda x: {_OK('mid', 'x')}) AS near
+    FROM (SELECT dom, members, mp, list_min(list_transform(members, lambda x: struct_pack(n := -len(list_filter(members, lambda y: {_OK('x', 'y')})), m := -list_avg(list_transform(list_filter(members, lambda y: {_OK('x', 'y')}), lambda y: mp[x || '|' || y].c)), id := x))).id AS mid
+          FROM search JOIN scored USING (dom) WHERE len(members) >= {_LEAST})))))
+"""
+# ids of cohorts: digests over the domain, the structure of the centre and the members, put together in hexadecimal
+_HEX = lambda x: f"hex(encode({x})) || '00'"
+_OPTIONAL = lambda x: f"CASE WHEN {x} IS NULL THEN '0000' ELSE '01' || {_HEX(x)} END"
+_FIXED = lambda x: x.encode().hex() + "00"
+
+
+def _cohorts(width: int) -> str:
+    return f"""{_PROJECTED}, {_IDS_TOO}, {_paired(width)}, {_SEARCH},
+    signature AS (SELECT input_line, sha256(from_hex(string_agg(hex(encode(replace(collection, '_', '-') || ':' || alignment_key)), '1F' ORDER BY unit_index) || '00' || coalesce(string_agg({_HEX('tool_identity')}, '' ORDER BY tool_identity), ''))) AS sig FROM unit SEMI JOIN seed USING (input_line) GROUP BY 1),
+    named AS (SELECT dom, centre, cohort, sha256(from_hex(printf('%016x', time_window_key) || '00' || {_HEX('endpoint_key')} || '{_FIXED('openai-compatible-chat')}' || {_HEX('model')} || {_OPTIONAL('model_deployment_key')} || '{_FIXED('openai-compatible-chat/v1')}'
+                     || {_OPTIONAL('agent_key')} || {_OPTIONAL('kv_namespace')} || '{_FIXED('1')}' || hex(encode(sig)) || array_to_string(list_transform(cohort, lambda m: {_HEX('m')}), ''))) AS cohort_id
+              FROM search JOIN seed USING (dom) JOIN signature USING (input_line) WHERE cohort IS NOT NULL AND request_id = centre),
+    listed_members AS (SELECT dom, cohort_id, centre, unnest(cohort) AS request_id FROM named)
+    SELECT cohort_id, centre AS medoid_request_id, request_id, round(mp[centre || '|' || request_id].c, 9) AS compatibility, round(avg(mp[centre || '|' || request_id].c) OVER (PARTITION BY cohort_id), 9) AS cohesion FROM listed_members JOIN scored USING (dom)"""
+
+
+SQL |= {"cohorts": _cohorts(LIMITS.comparison_window_seconds), "cohorts_two_weeks": _cohorts(14 * 86400)}
