@@ -54,10 +54,11 @@ def flatten_label(c: Column | str, limit: int | None = None) -> Column:
 
 
 def human_bytes(c: Column | str) -> Column:
+    """Bytes, KB or MB; halves are rounded to even."""
     c = (F.col(c) if isinstance(c, str) else c).cast("double")
     return (
-        F.when(c >= 1048576, F.format_string("%.1f MB", c / 1048576))
-        .when(c >= 1024, F.format_string("%.0f KB", c / 1024))
+        F.when(c >= 1048576, F.format_string("%.1f MB", F.bround(c / 1048576, 1)))
+        .when(c >= 1024, F.format_string("%.0f KB", F.bround(c / 1024, 0)))
         .otherwise(F.format_string("%.0f B", c))
     )
 

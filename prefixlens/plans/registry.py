@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from prefixlens.plans import analysis_queries, analysis_sql, problems
+from prefixlens.plans import analysis_queries, analysis_sql, function_queries, problems
 
 FLAGSHIP = "prefix_reuse_by_session"
-QUERIES = {**analysis_queries.QUERIES, **problems.QUERIES}
-SQL = {**analysis_sql.SQL, **problems.SQL}
+QUERIES = {**analysis_queries.QUERIES, **function_queries.QUERIES, **problems.QUERIES}
+SQL = {**analysis_sql.SQL, **function_queries.SQL, **problems.SQL}
