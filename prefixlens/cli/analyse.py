@@ -1,4 +1,7 @@
-"""python -m prefixlens.cli.analyse --input requests.ndjson --output analysis.json"""
+"""python -m prefixlens.cli.analyse --input requests.ndjson --output analysis.json
+
+With --tables FOLDER the relations are written as Parquet tables there; use it for results too large for one document.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from prefixlens.options import AnalysisOptions
-from prefixlens.plans.pipeline import analyse_file
+from prefixlens.plans.pipeline import analyse_file, write_tables
 from prefixlens.report.document import ensure_distinct, to_document, write_document
 
 
@@ -25,15 +28,23 @@ def session(name: str) -> SparkSession:
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("--input", required=True)
-    p.add_argument("--output", required=True)
+    p.add_argument("--output")
+    p.add_argument("--tables")
     p.add_argument("--config")
     p.add_argument("--top-k", type=_positive)
     p.add_argument("--comparison-window-seconds", type=_positive)
     a = p.parse_args(argv)
     options = AnalysisOptions.from_json(Path(a.config).read_text()) if a.config else AnalysisOptions()
     options = options.overridden(top_k=a.top_k, comparison_window_seconds=a.comparison_window_seconds)
-    ensure_distinct(a.input, a.output)
-    write_document(a.output, to_document(analyse_file(session("analyse"), a.input, options)))
+    if not (a.output or a.tables):
+        p.error("--output or --tables is needed")
+    if a.output:
+        ensure_distinct(a.input, a.output)
+    found = analyse_file(session("analyse"), a.input, options)
+    if a.tables:
+        write_tables(found, a.tables)
+    if a.output:
+        write_document(a.output, to_document(found))
 
 
 if __name__ == "__main__":

@@ -126,13 +126,17 @@ PROJECTED = f"input_line bigint, request_id string, captured_at string, session_
 _KEPT = ("input_line", "request_id", "captured_at", "session_key", "endpoint_key", "agent_key", "model_deployment_key", "kv_namespace")
 
 
-def project(records: DataFrame, options: AnalysisOptions = AnalysisOptions()) -> DataFrame:
-    """Identified records with model, units, domain columns and skip_code/skip_args of those that have none."""
+def project(records: DataFrame, options: AnalysisOptions = AnalysisOptions(), carry: tuple[str, ...] = ()) -> DataFrame:
+    """Identified records with model, units, domain columns and skip_code/skip_args of those that have none.
+
+    ``carry``: further string columns to keep.
+    """
+    kept = (*_KEPT, *carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             models, codes, args, sizes, flat = [], [], [], [], []
-            for text in b.column(len(_KEPT)).to_pylist():
+            for text in b.column(len(kept)).to_pylist():
                 payload = json.loads(text)
                 try:
                     rows = units_of(payload, options)
@@ -150,10 +154,11 @@ def project(records: DataFrame, options: AnalysisOptions = AnalysisOptions()) ->
             offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], pa.array(models, pa.string()), pa.ListArray.from_arrays(offsets, units), pa.array(codes, pa.string()), pa.array(args, pa.map_(pa.string(), pa.string()))],
-                names=[*_KEPT, "model", "units", "skip_code", "skip_args"],
+                names=[*kept, "model", "units", "skip_code", "skip_args"],
             )
 
-    rows = records.select(*_KEPT, "payload").mapInArrow(run, PROJECTED)
+    schema = PROJECTED.replace("model string", "".join(f"{c} string, " for c in carry) + "model string", 1)
+    rows = records.select(*kept, "payload").mapInArrow(run, schema)
     seconds = rfc3339_seconds("captured_at")
     # a request without time has no domain; that shows before its messages are looked into
     early = F.col("skip_code").isin("MissingModel", "MissingMessages", "MessagesNotArray")

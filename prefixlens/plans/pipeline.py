@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,16 @@ class Analysis:
     limitations: DataFrame
 
 
+def write_tables(a: Analysis, folder: str, batch: int | None = None) -> None:
+    """Every relation as a Parquet table under ``folder``, of any size.
+
+    With ``batch`` only that batch's part of each table is written; writing a batch again replaces it.
+    """
+    for f in dataclasses.fields(a):
+        if isinstance(df := getattr(a, f.name), DataFrame):
+            df.write.mode("overwrite").parquet(f"{folder}/{f.name}" + ("" if batch is None else f"/batch={batch}"))
+
+
 def analyse_file(spark: SparkSession, path: str, options: AnalysisOptions = AnalysisOptions()) -> Analysis:
     return analyse_loaded(R.load_lines(R.scan_lines(spark, path), options), options)
 

@@ -4,7 +4,7 @@
   rejected lines come out as skips.
 * ``window_counts`` keeps tumbling comparison windows per endpoint under a watermark.
 * ``session_turns`` keeps, per session, the last request's unit fingerprints and emits each turn's event.
-  Rows wait until the watermark has passed them and leave in (instant, line) order; a row behind the
+  Rows wait until the watermark has passed them and leave in order of instant, then place; a row behind the
   watermark goes out marked late. Batch stays the authority; on data in order both agree.
 * ``close_windows`` runs the batch analysis of whole windows in foreachBatch: arrived records wait in a table
   until the watermark has passed their window's end. Windows never compare with each other, so cohorts,
@@ -17,6 +17,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -25,27 +26,49 @@ from prefixlens.functions.times import rfc3339_nanos, rfc3339_seconds, window_st
 from prefixlens.operators.ordering import row_numbers
 from prefixlens.operators.projection import CONTENT_KINDS, project
 from prefixlens.options import AnalysisOptions
+from prefixlens.plans.pipeline import NothingToAnalyse, analyse_loaded, write_tables
 from prefixlens.sources import records as R
 
 
 def stream_lines(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
-    """(input_line, line) of landed files. The line number is its file's time and its place in the read order."""
+    """(input_line, line, place) of landed files.
+
+    ``place`` orders lines by their file's time, its path, and where they stand in it. ``input_line`` is the second
+    of the file since 2020 and the line's place in it: in order, but not unique among files of one second.
+    """
     reader = spark.readStream.format("text").option("lineSep", "\n")
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    lines = reader.load(folder).select(F.col("value").alias("line"), F.col("_metadata.file_modification_time").alias("t"))
-    return lines.select((F.unix_micros("t") * 1000 + F.pmod(F.xxhash64("line"), F.lit(1000))).alias("input_line"), "line")
+    meta = F.col("_metadata")
+    lines = reader.load(folder).select(F.unix_micros(meta["file_modification_time"]).alias("t"), meta["file_path"].alias("file"), meta["file_block_start"].cast("bigint").alias("block"), F.octet_length("value").cast("bigint").alias("size"), F.col("value").alias("line"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a task reads blocks one after the other, each in order
+        now, at = None, 0
+        for b in batches:
+            numbers, places = [], []
+            for t, file, block, size in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if (file, block) != now:
+                    now, at = (file, block), block + (block > 0)
+                numbers.append((max(t // 1_000_000 - EPOCH, 0) & (1 << 30) - 1) << 33 | at & (1 << 33) - 1)
+                places.append(f"{t:020d}{file}\0{at:020d}")
+                at += size + 1
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), b.column(4), pa.array(places, pa.string())], names=["input_line", "line", "place"])
+
+    return lines.mapInArrow(number, "input_line bigint, line string, place string")
 
 
 def load(lines: DataFrame) -> DataFrame:
-    """RECORD rows of streamed lines (no occurrence numbers and no record budget: those need a whole file)."""
+    """RECORD rows of streamed lines, with their place (no occurrence numbers and no record budget: those need a whole file)."""
 
-    def run(batches):
-        return R._batches(batches, R.load_line)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for out in R._batches([b.select(["input_line", "line"])], R.load_line):
+                yield out.append_column("place", b.column("place"))
 
     blank = F.col("line").isNull() | F.col("line").rlike(r"^[ \t\r\f]*$")
     # blank lines are parsed too, so that they leave as skips
-    return lines.select("input_line", F.when(blank, F.lit("")).otherwise(F.col("line")).alias("line")).mapInArrow(run, R.RECORD)
+    return lines.select("input_line", F.when(blank, F.lit("")).otherwise(F.col("line")).alias("line"), "place").mapInArrow(run, PLACED)
 
 
 def timed(records: DataFrame) -> DataFrame:
@@ -60,6 +83,10 @@ def window_counts(records: DataFrame, options: AnalysisOptions = AnalysisOptions
     return rows.groupBy(F.window("event_time", width), "endpoint_key").agg(F.count(F.lit(1)).alias("records")).select(F.unix_timestamp("window.start").alias("time_window_key"), "endpoint_key", "records")
 
 
+#: Loaded records with their place in the landing folder.
+PLACED = f"{R.RECORD}, place string"
+#: 2020-01-01 in seconds.
+EPOCH = 1577836800
 TURN = "session_key string, request_id string, previous_request_id string, event_type string, lcp_units bigint, lcp_bytes bigint, next_total_bytes bigint, late boolean"
 _STATE = "last string, waiting string"
 
@@ -77,9 +104,9 @@ def classify(before: list, after: list) -> tuple[str, int]:
 
 
 def session_turns(records: DataFrame, options: AnalysisOptions = AnalysisOptions(), delay: str = "10 minutes") -> DataFrame:
-    rows = project(timed(records).drop("event_time"), options).where("skip_code IS NULL AND session_key IS NOT NULL")
+    rows = project(timed(records).drop("event_time"), options, ("place",)).where("skip_code IS NULL AND session_key IS NOT NULL")
     slim = rows.select(
-        "session_key", F.timestamp_seconds(rfc3339_seconds("captured_at")).alias("event_time"), rfc3339_nanos("captured_at").cast("bigint").alias("ts"), "input_line", "request_id",
+        "session_key", F.timestamp_seconds(rfc3339_seconds("captured_at")).alias("event_time"), rfc3339_nanos("captured_at").cast("bigint").alias("ts"), "place", "request_id",
         F.to_json(F.transform("units", lambda u: F.array(u["fp"], u["bytes"].cast("string"), u["kind"].isin(*CONTENT_KINDS).cast("string")))).alias("units"),
     ).withWatermark("event_time", delay)
 
@@ -93,7 +120,7 @@ def session_turns(records: DataFrame, options: AnalysisOptions = AnalysisOptions
                 if int(r.ts) < mark:
                     out.append((key[0], r.request_id, None, None, None, None, None, True))
                 else:
-                    waiting.append([int(r.ts), int(r.input_line), r.request_id, units])
+                    waiting.append([int(r.ts), r.place, r.request_id, units])
         waiting.sort(key=lambda w: w[:2])
         ready = [w for w in waiting if w[0] < mark]
         waiting = waiting[len(ready) :]
@@ -110,6 +137,22 @@ def session_turns(records: DataFrame, options: AnalysisOptions = AnalysisOptions
     return slim.groupBy("session_key").applyInPandasWithState(step, TURN, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def window_sink(folder: str, options: AnalysisOptions = AnalysisOptions()) -> Callable[[DataFrame, int], None]:
+    """An ``analyse`` for ``close_windows`` that keeps the batch analysis as tables, a partition per batch id.
+
+    A batch that comes again replaces what it wrote, so every window is in the tables once.
+    """
+
+    def analyse(records: DataFrame, epoch: int) -> None:
+        if not records.where("skip_code IS NULL").isEmpty():
+            try:
+                write_tables(analyse_loaded(records, options), folder, epoch)
+            except NothingToAnalyse:
+                pass
+
+    return analyse
+
+
 def close_windows(records: DataFrame, analyse: Callable[[DataFrame, int], None], checkpoint: str, options: AnalysisOptions = AnalysisOptions(), delay: str = "10 minutes", late: Callable[[DataFrame, int], None] | None = None):
     """Start a query that hands loaded records to ``analyse`` (batch pipeline, batch id), each window whole.
 
@@ -128,7 +171,7 @@ def close_windows(records: DataFrame, analyse: Callable[[DataFrame, int], None],
         seconds = rfc3339_seconds("captured_at")
         window = F.when(F.col("skip_code").isNull(), window_start(seconds, width))
         df.withColumns({"_at": seconds, "_window": window}).write.mode("overwrite").partitionBy("_window").parquet(f"{base}/arrived/_epoch={epoch}")
-        schema = f"{R.RECORD}, _at bigint, _epoch bigint, _window bigint"
+        schema = f"{PLACED}, _at bigint, _epoch bigint, _window bigint"
         arrived = session.read.schema(schema).option("basePath", f"{base}/arrived").parquet(f"{base}/arrived")
         marks = session.read.schema("mark bigint, _epoch bigint").parquet(f"{base}/marks").where(F.col("_epoch") < epoch) if files.exists(path(f"{base}/marks")) else None
         before = marks.agg(F.max("mark")).first()[0] if marks is not None else None
@@ -138,10 +181,10 @@ def close_windows(records: DataFrame, analyse: Callable[[DataFrame, int], None],
         end = F.col("_window") + width
         gone = F.lit(False) if before is None else F.coalesce(end <= before, F.lit(False))
         closed = F.lit(False) if mark is None else F.coalesce(end <= mark, F.lit(False)) & ~gone
-        # streamed line numbers may repeat; in a window each record has its own
-        whole = row_numbers(arrived.where((F.col("_epoch") <= epoch) & closed), [], ["_epoch", "input_line", "captured_at", "id_hash"], "_n").withColumn("input_line", F.col("_n").cast("bigint"))
+        # in a window each record has its own number, in the order of landing
+        whole = row_numbers(arrived.where((F.col("_epoch") <= epoch) & closed), [], ["place"], "_n").withColumn("input_line", F.col("_n").cast("bigint"))
         at_once = arrived.where((F.col("_epoch") == epoch) & F.col("_window").isNull())
-        names = df.columns
+        names = [c for c in df.columns if c != "place"]
         out = whole.select(names).unionByName(at_once.select(names))
         if not out.isEmpty():
             analyse(out, epoch)

@@ -66,3 +66,36 @@ def test_a_window_over_two_files_is_analysed_whole(spark, tmp_path):
     finally:
         q.stop()
     assert got == [(2, want)] and behind == [(3, 1)]
+
+
+def test_turns_of_one_instant_keep_the_order_of_the_lines(spark, tmp_path):
+    rows = [line(user(*("abc"[: i % 3 + 1] + f"{i}")), 0, "s") for i in range(40)]  # all at one instant
+    end = json.dumps({**json.loads(line(user("z"), 0, "other")), "captured_at": "2026-01-01T09:00:00Z"})
+    folder = tmp_path / "landing"
+    folder.mkdir()
+    (folder / "1.ndjson").write_text("\n".join(rows[:25]) + "\n")
+    loaded = live.load(live.stream_lines(spark, str(folder), 1))
+    assert loaded.isStreaming
+    q = live.session_turns(loaded).writeStream.format("memory").queryName("instant").outputMode("append").start()
+    sink = live.close_windows(loaded, live.window_sink(str(tmp_path / "out")), str(tmp_path / "check"))
+    try:
+        for name, lines in (("2", rows[25:]), ("3", [end]), ("4", [end.replace("T09", "T10")])):
+            for x in (q, sink):
+                x.processAllAvailable()
+            (folder / f"{name}.ndjson").write_text("\n".join(lines) + "\n")
+            for x in (q, sink):
+                x.processAllAvailable()
+    finally:
+        q.stop()
+        sink.stop()
+    got = [(r.event_type, r.lcp_units, r.next_total_bytes) for r in spark.sql("SELECT * FROM instant WHERE session_key = 's'").collect()]
+    batch = S.session_events(PJ.sequences(PJ.project(R.identified(R.load_lines(frame(spark, rows)))))).orderBy("next_sequence").collect()
+    want = [(r.event_type, r.lcp_units, r.next_total_bytes) for r in batch]
+    assert got == want and len(want) == 39
+    kept = spark.read.parquet(str(tmp_path / "out" / "session_events")).where("session_key = 's'")
+    assert sorted(kept.select("event_type", "lcp_units", "next_total_bytes").collect()) == sorted(want)
+    # the same batch again leaves what is there
+    before = kept.count()
+    batch_id = kept.first().batch
+    live.window_sink(str(tmp_path / "out"))(R.load_lines(frame(spark, rows)), batch_id)
+    assert spark.read.parquet(str(tmp_path / "out" / "session_events")).where("session_key = 's'").count() == before
