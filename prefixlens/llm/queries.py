@@ -258,11 +258,24 @@ def _sql() -> dict[str, str]:
         dg AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - {P6_WORDS} + 2), lambda k: array_to_string(ws[k : k + {P6_WORDS - 1}], ' '))) AS g FROM dw)"""
     return {
         "p6_found": f"WITH {leaks} SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
+        "p6_leaks": f"""WITH {leaks},
+            ip AS (SELECT item_id, field, k, array_to_string(ws[k : k + {P6_WORDS - 1}], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - {P6_WORDS} + 2)) AS k FROM iw)),
+            dp AS (SELECT doc_id, k, array_to_string(ws[k : k + {P6_WORDS - 1}], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - {P6_WORDS} + 2)) AS k FROM dw)),
+            hit AS (SELECT doc_id, item_id, field, dp.k AS place, dp.k - ip.k AS diagonal FROM dp JOIN ip USING (g)),
+            run AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id, item_id, field, diagonal ORDER BY place) AS island FROM hit),
+            long AS (SELECT doc_id, item_id, field, count(*) AS n FROM run GROUP BY doc_id, item_id, field, diagonal, island)
+            SELECT doc_id, item_id, field, sum(n)::BIGINT AS windows, max(n) + {P6_WORDS - 1} AS longest_run FROM long GROUP BY ALL""",
         **_p3_sql(),
         "p3_found": f"""
             WITH {_LATENCIES}, g AS (SELECT *, CASE metric WHEN 'ttft_ms' THEN 50 ELSE 95 END AS q, CASE metric WHEN 'ttft_ms' THEN 1500 ELSE 45000 END AS lim FROM v)
             SELECT endpoint_key, utc_day, metric FROM g GROUP BY ALL HAVING count(*) >= 20 AND 100 * count(*) FILTER (x <= lim) < any_value(q) * count(*)""",
         "p1_found": f"WITH {pairs} SELECT line_a, line_b FROM pairs",
+        "p1_classes": f"""WITH {pairs},
+            s AS (SELECT input_line, model, sha256(string_agg(g, chr(1) ORDER BY g)) AS d FROM g GROUP BY ALL),
+            c AS (SELECT input_line, min(input_line) OVER (PARTITION BY model, d) AS class_id FROM s),
+            each AS (SELECT line_a AS x, line_b AS y FROM pairs UNION ALL SELECT line_b, line_a FROM pairs)
+            SELECT a.input_line AS id, a.class_id, count(DISTINCT CASE WHEN b.class_id <> a.class_id THEN b.class_id END) AS similar_classes, count(b.input_line) AS similar_ids
+            FROM c a LEFT JOIN each ON x = a.input_line LEFT JOIN c b ON b.input_line = y GROUP BY ALL""",
         "p2_found": f"WITH {windows} SELECT DISTINCT a.input_line AS line_a, b.input_line AS line_b FROM shared a JOIN shared b ON a.w = b.w AND a.input_line < b.input_line",
         "p2_shared": f"""WITH {windows},
             gaps AS (SELECT input_line, i, j, k, k - lag(k) OVER (PARTITION BY input_line, i, j ORDER BY k) AS gap FROM shared)
