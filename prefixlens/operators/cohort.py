@@ -56,18 +56,15 @@ def domain_material(domain: dict) -> bytes:
 
 def best_centre(seed: list[tuple[str, int]], score) -> int:
     """Position in the seed (id, variant; sorted by id) of the centre that accepts most of it."""
-    weight: dict[int, int] = {}
     first: dict[int, int] = {}
     for i, (_, v) in enumerate(seed):
-        weight[v] = weight.get(v, 0) + 1
         first.setdefault(v, i)
 
     def rank(v: int) -> tuple[int, float, int]:
-        near = [(n, p[0]) for u, n in weight.items() for p, ok in (score(v, u),) if ok]
-        size = sum(n for n, _ in near)
-        return size, sum(n * c for n, c in near) / max(size, 1), -first[v]
+        near = [p[0] for _, u in seed for p, ok in (score(v, u),) if ok]
+        return len(near), sum(near) / max(len(near), 1), -first[v]
 
-    return first[max(weight, key=rank)]
+    return first[max(first, key=rank)]
 
 
 def choose_validators(compatible: list[tuple[str, int]], pairs: dict[int, tuple[float, float]]) -> list[int]:

@@ -348,3 +348,13 @@ def _cohorts(width: int) -> str:
 
 
 SQL |= {"cohorts": _cohorts(LIMITS.comparison_window_seconds), "cohorts_two_weeks": _cohorts(14 * 86400)}
+#: The rules on sessions, over events found here; the rules on templates and defects hold on every table, so they list nothing.
+SQL["integrity"] = f"""{_EVENTS}, {_REPORTS},
+    e AS (SELECT *, session_key || '/' || next_sequence AS name FROM events),
+    s AS (SELECT session_key, count(*) AS n, count(*) FILTER (prefix_reuse_outlier) AS r, sum(abandoned_prefix_bytes) AS a FROM events GROUP BY 1)
+    SELECT 'abandoned bytes lie in the request before' AS rule, name AS subject FROM e WHERE abandoned_prefix_bytes > previous_total_bytes
+    UNION ALL SELECT 'retained and abandoned make up the request before', name FROM e WHERE retained_prefix_bytes + abandoned_prefix_bytes <> previous_total_bytes
+    UNION ALL SELECT 'an outlier abandons bytes', name FROM e WHERE prefix_reuse_outlier <> (abandoned_prefix_bytes > 0)
+    UNION ALL SELECT 'a session has one request more than events', session_key FROM reports JOIN s USING (session_key) WHERE request_count <> n + 1
+    UNION ALL SELECT 'refreshes are the outliers', session_key FROM reports JOIN s USING (session_key) WHERE context_refresh_count <> r
+    UNION ALL SELECT 'abandoned bytes add up', session_key FROM reports JOIN s USING (session_key) WHERE total_abandoned_prefix_bytes <> a"""
