@@ -244,33 +244,39 @@ def _rounds(pool: DataFrame, units: DataFrame, options: AnalysisOptions, mode: s
         best = pdf.iloc[[best_centre(seed, score)]]
         return best.drop(columns="units").assign(signature=structure_signature(list(best["units"].iloc[0])))
 
-    for _ in range(options.max_candidates_per_request):
-        alive = pool.groupBy(*DOMAIN).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= options.min_template_members).drop("_n")
-        if alive.isEmpty():
-            return _named(found, pool)
-        pool = _join_domain(pool, alive)
-        # a bound on the row number keeps that many rows per task and domain only
-        seed = pool.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= options.max_candidates_per_request + 1).drop("_r")
-        seed = _join_on(seed, units, by_variant, "inner")
-        centres = written(seed.groupBy(*DOMAIN).applyInPandas(centre_of, f"{_DOMAIN_DDL}, request_id string, variant string, signature string"), "centres")
-        scored = written(against(pool.select(*by_variant).distinct(), centres).where("ok").drop("ok"), "scored")
-        near = written(_join_on(pool, scored, by_variant, "inner"), "near")
+    def agreeing(near: DataFrame, centres: DataFrame) -> DataFrame:
+        """Members of ``near`` that their domain's boundary members accept, where they are enough."""
         boundary = Window.partitionBy(*DOMAIN).orderBy("compat", F.desc("dynamic"), "request_id")
         least = near.withColumn("_k", F.row_number().over(boundary)).where(F.col("_k") <= 4).select(*by_variant, "request_id", "_k")
-        total = near.groupBy(*DOMAIN).agg(F.count(F.lit(1)).alias("_n"))
-        numbered = _join_domain(row_numbers(near.select(*by_variant, "request_id"), list(DOMAIN), ["request_id"], "_i"), total)
+        numbered = row_numbers(near.select(*by_variant, "request_id", "_n"), list(DOMAIN), ["request_id"], "_i")
         quartile = F.array(*[F.floor(F.lit(q) * (F.col("_n") - 1) / 4) + 1 for q in range(5)])
         spread_ = numbered.where(F.array_contains(quartile, F.col("_i"))).select(*by_variant, "request_id", (F.col("_i") + 4).alias("_k"))
         # at most nine rows a domain
         chosen = least.unionByName(spread_).groupBy(*by_variant, "request_id").agg(F.min("_k").alias("_k"))
         judges = chosen.withColumn("_j", F.row_number().over(Window.partitionBy(*DOMAIN).orderBy("_k"))).where(F.col("_j") <= VALIDATORS).select(*by_variant).distinct()
-        agreed = against(scored, written(judges, "judges")).groupBy(*by_variant).agg(F.bool_and("ok").alias("_ok")).where("_ok").drop("_ok")
+        agreed = against(near.select(*by_variant).distinct(), written(judges, "judges")).groupBy(*by_variant).agg(F.bool_and("ok").alias("_ok")).where("_ok").drop("_ok")
         kept = _join_on(near, agreed, by_variant, "inner")
         enough = kept.groupBy(*DOMAIN).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") >= options.min_template_members).drop("_m")
         cohort = _join_domain(_join_domain(kept, enough), centres.select(*DOMAIN, F.col("request_id").alias("medoid_request_id"), "signature"))
-        cohort = written(cohort.select(*DOMAIN, "request_id", "compat", "medoid_request_id", "signature"), "cohort-round")
-        found.append(cohort)
-        gone = cohort.select(*DOMAIN, "request_id").unionByName(centres.select(*DOMAIN, "request_id")).distinct()
+        return cohort.select(*DOMAIN, "request_id", "compat", "medoid_request_id", "signature")
+
+    for _ in range(options.max_candidates_per_request):
+        alive = pool.groupBy(*DOMAIN).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= options.min_template_members).drop("_n")
+        pool = _join_domain(pool, alive)
+        # a bound on the row number keeps that many rows per task and domain only
+        seed = pool.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= options.max_candidates_per_request + 1).drop("_r")
+        seed = _join_on(seed, units, by_variant, "inner")
+        centres = written(seed.groupBy(*DOMAIN).applyInPandas(centre_of, f"{_DOMAIN_DDL}, request_id string, variant string, signature string"), "centres")
+        if centres.isEmpty():
+            return _named(found, pool)
+        scored = against(pool.select(*by_variant).distinct(), centres).where("ok").drop("ok")
+        near = _join_on(pool, scored, by_variant, "inner")
+        total = near.groupBy(*DOMAIN).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= options.min_template_members)
+        near = written(_join_on(near, total, list(DOMAIN), "inner"), "near")
+        gone = centres.select(*DOMAIN, "request_id")
+        if not near.isEmpty():
+            found.append(written(agreeing(near, centres), "cohort-round"))
+            gone = gone.unionByName(found[-1].select(*DOMAIN, "request_id")).distinct()
         on = reduce(lambda x, y: x & y, [F.col(f"p.{k}").eqNullSafe(F.col(f"g.{k}")) for k in [*DOMAIN, "request_id"]])
         pool = written(pool.alias("p").join(gone.alias("g"), on, "left_anti"), "pool")
     return _named(found, pool, options.min_template_members)

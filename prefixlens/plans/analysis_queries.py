@@ -150,6 +150,11 @@ def cohorts_two_weeks(spark: SparkSession, base: str) -> DataFrame:
     return _listed(cohort.find_cohorts(projection.sequences(_projected(spark, base, TWO_WEEKS)), TWO_WEEKS))
 
 
+def cohorts_in_rounds(spark: SparkSession, base: str) -> DataFrame:
+    """The same with every domain of more than five variants searched in distributed rounds."""
+    return _listed(cohort.find_cohorts(projection.sequences(_projected(spark, base, TWO_WEEKS)), TWO_WEEKS, task_variants=5))
+
+
 def defects_two_weeks(spark: SparkSession, base: str) -> DataFrame:
     return rank.rank_defects(rank.candidates(_templates(spark, base, TWO_WEEKS)[2]))
 
@@ -232,7 +237,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         line_skips, request_ids, unit_projection, unit_counts, projection_skips, domain_windows, cache_metrics_reported, usage_by_session, cache_metrics_estimated, session_turns,
-        session_events, session_reports, prefix_reuse_total, prefix_reuse_by_session, tool_overlap, pair_scores, cohorts, cohorts_two_weeks, templates, bindings, defects, defects_two_weeks, top_defects, prefix_nodes, reuse_requests,
+        session_events, session_reports, prefix_reuse_total, prefix_reuse_by_session, tool_overlap, pair_scores, cohorts, cohorts_two_weeks, cohorts_in_rounds, templates, bindings, defects, defects_two_weeks, top_defects, prefix_nodes, reuse_requests,
         session_attention, session_overview, reuse_gauge, cross_check, template_totals, decay, integrity,
     )
 }

@@ -347,7 +347,7 @@ def _cohorts(width: int) -> str:
     SELECT cohort_id, centre AS medoid_request_id, request_id, round(mp[centre || '|' || request_id].c, 9) AS compatibility, round(avg(mp[centre || '|' || request_id].c) OVER (PARTITION BY cohort_id), 9) AS cohesion FROM listed_members JOIN scored USING (dom)"""
 
 
-SQL |= {"cohorts": _cohorts(LIMITS.comparison_window_seconds), "cohorts_two_weeks": _cohorts(14 * 86400)}
+SQL |= {"cohorts": _cohorts(LIMITS.comparison_window_seconds), "cohorts_two_weeks": _cohorts(14 * 86400), "cohorts_in_rounds": _cohorts(14 * 86400)}
 #: The rules on sessions, over events found here; the rules on templates and defects hold on every table, so they list nothing.
 SQL["integrity"] = f"""{_EVENTS}, {_REPORTS},
     e AS (SELECT *, session_key || '/' || next_sequence AS name FROM events),
