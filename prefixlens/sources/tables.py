@@ -38,12 +38,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     _written.append(path)
     df.write.parquet(path)
-    files, at = _files(df.sparkSession, path)
+    files, at = hadoop_path(df.sparkSession, path)
     files.deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _files(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
     """The Hadoop file system of a path, and the path in it."""
     context = spark.sparkContext
     at = context._jvm.org.apache.hadoop.fs.Path(path)
@@ -60,7 +60,7 @@ def drop_written(spark: SparkSession, paths: list[str] | None = None) -> int:
     gone = list(_written if paths is None else paths)
     for p in gone:
         _written.remove(p)
-        files, at = _files(spark, p)
+        files, at = hadoop_path(spark, p)
         files.delete(at, True)
     return len(gone)
 

@@ -58,17 +58,22 @@ def stream_lines(spark: SparkSession, folder: str, max_files: int | None = None)
     return lines.mapInArrow(number, "input_line bigint, line string, place string")
 
 
-def load(lines: DataFrame) -> DataFrame:
+def load(lines: DataFrame, options: AnalysisOptions = AnalysisOptions()) -> DataFrame:
     """RECORD rows of streamed lines, with their place (no occurrence numbers and no record budget: those need a whole file)."""
 
+    def one(line: str) -> dict:
+        if not line.strip(" \t\r\f"):
+            raise R.Skip("EmptyLine")
+        if (size := len(line.encode())) > options.max_payload_bytes:
+            raise R.Skip("RecordTooLarge", bytes=size, limit=options.max_payload_bytes)
+        return R.load_line(line)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for out in R._batches([b.select(["input_line", "line"])], R.load_line):
+            for out in R._batches([b.select(["input_line", "line"])], one):
                 yield out.append_column("place", b.column("place"))
 
-    blank = F.col("line").isNull() | F.col("line").rlike(r"^[ \t\r\f]*$")
-    # blank lines are parsed too, so that they leave as skips
-    return lines.select("input_line", F.when(blank, F.lit("")).otherwise(F.col("line")).alias("line"), "place").mapInArrow(run, PLACED)
+    return lines.select("input_line", F.coalesce("line", F.lit("")).alias("line"), "place").mapInArrow(run, PLACED)
 
 
 def timed(records: DataFrame) -> DataFrame:
