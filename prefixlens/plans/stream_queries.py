@@ -26,8 +26,11 @@ def _lines(spark: SparkSession, base: str) -> DataFrame:
 def _ended(df: DataFrame, mode: str) -> DataFrame:
     """All that a stream gives until its source is read."""
     name = f"ended_{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_dir(df.sparkSession)}/{name}").trigger(availableNow=True).start()
+    checkpoint = f"{shared_dir(df.sparkSession)}/{name}"
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+    files, at = hadoop_path(df.sparkSession, checkpoint)
+    files.deleteOnExit(at)
     return df.sparkSession.table(name)
 
 
