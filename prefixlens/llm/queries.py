@@ -69,6 +69,12 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return spans.sharing_pairs(_p2(spark, base))
 
 
+def p2_classes(spark: SparkSession, base: str) -> DataFrame:
+    """One row per sharing request: its class, with the same shared windows, and what it shares with."""
+    found = neardup.link_counts(*spans.sharing_classes(_p2(spark, base)))
+    return found.select(F.col("id").alias("input_line"), "class_id", F.col("similar_classes").alias("sharing_classes"), F.col("similar_ids").alias("sharing_lines"))
+
+
 def p2_shared(spark: SparkSession, base: str) -> DataFrame:
     """Per request: how many characters of its tool outputs stand in other requests too."""
     return spans.shared_chars(_p2(spark, base), P2_LENGTH).withColumnRenamed("id", "input_line")
@@ -170,7 +176,7 @@ def p8_found(spark: SparkSession, base: str) -> DataFrame:
     return language.unnamed_languages(p8_segments(spark, base), known)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_shared, p3_found, p3_daily, p3_endpoints, p3_all, p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_segments, p8_documents)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_classes, p2_shared, p3_found, p3_daily, p3_endpoints, p3_all, p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_segments, p8_documents)}
 
 _WORDS = r"regexp_extract_all({x}, '[\p{{L}}\p{{N}}]+')"
 _P1_PAIRS = f"""
@@ -277,6 +283,11 @@ def _sql() -> dict[str, str]:
             SELECT a.input_line AS id, a.class_id, count(DISTINCT CASE WHEN b.class_id <> a.class_id THEN b.class_id END) AS similar_classes, count(b.input_line) AS similar_ids
             FROM c a LEFT JOIN each ON x = a.input_line LEFT JOIN c b ON b.input_line = y GROUP BY ALL""",
         "p2_found": f"WITH {windows} SELECT DISTINCT a.input_line AS line_a, b.input_line AS line_b FROM shared a JOIN shared b ON a.w = b.w AND a.input_line < b.input_line",
+        "p2_classes": f"""WITH {windows},
+            pairs AS (SELECT DISTINCT a.input_line AS x, b.input_line AS y FROM shared a JOIN shared b ON a.w = b.w AND a.input_line <> b.input_line),
+            c AS (SELECT input_line, min(input_line) OVER (PARTITION BY d) AS class_id FROM (SELECT input_line, sha256(string_agg(w, chr(1) ORDER BY w)) AS d FROM shared GROUP BY 1))
+            SELECT a.input_line, a.class_id, count(DISTINCT CASE WHEN b.class_id <> a.class_id THEN b.class_id END) AS sharing_classes, count(y) AS sharing_lines
+            FROM c a LEFT JOIN pairs ON x = a.input_line LEFT JOIN c b ON b.input_line = y GROUP BY ALL""",
         "p2_shared": f"""WITH {windows},
             gaps AS (SELECT input_line, i, j, k, k - lag(k) OVER (PARTITION BY input_line, i, j ORDER BY k) AS gap FROM shared)
             SELECT input_line, sum(CASE WHEN gap IS NULL OR gap > {P2_LENGTH} THEN {P2_LENGTH} ELSE gap END)::BIGINT AS shared_chars,

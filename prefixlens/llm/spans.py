@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prefixlens.llm.neardup import member_pairs
 from prefixlens.llm.words import mix
 from prefixlens.sources.tables import written
 
@@ -220,12 +221,28 @@ def shared_windows(packed: DataFrame, length: int, bucket_windows: int = BUCKET_
     return sorted_in_task.unionByName(placed.select("bucket", "w1", F.lit(0).cast("bigint").alias("w2"), "id", "part", (F.col("at") + F.col("offset")).alias("at")))
 
 
-def sharing_pairs(windows: DataFrame) -> DataFrame:
-    """Distinct pairs of records with a shared window. ``windows`` is a written table.
+def same_windows(windows: DataFrame) -> DataFrame:
+    """(id, key): records with the same shared windows, equally often, have one key, the smallest id among them.
+
+    ``windows`` is a written table. Windows are told apart by two 64-bit digests, summed in halves.
+    """
+    parts = []
+    for h in (F.xxhash64("bucket", "w1", "w2"), F.xxhash64("w2", "bucket", "w1", F.lit(1))):
+        parts += [F.shiftright(h, 32), h.bitwiseAND(F.lit((1 << 32) - 1))]
+    sums = [f"s{i}" for i in range(len(parts))]
+    per = windows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(p).alias(c) for p, c in zip(parts, sums)])
+    per = written(per, "spans-records")
+    return per.join(per.groupBy("n", *sums).agg(F.min("id").alias("key")), ["n", *sums]).select("id", "key")
+
 
-    A window is left out where every record's place for it directly follows one common window before it:
-    its pairs are that window's too.
+def sharing_classes(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members: id, key, rep; links: a, b between keys): records by their shared windows, and classes with a common one.
+
+    ``windows`` is a written table. Only one record of a class, its key, takes part in the join. A window is left
+    out where every record's place for it directly follows one common window before it: its pairs are that window's too.
     """
+    members = written(same_windows(windows), "spans-members")
+    windows = windows.join(members.where("id = key").select("id"), "id", "left_semi")
     place = Window.partitionBy("id", "part").orderBy("at")
     before = windows.select(
         "bucket", "w1", "w2", "id",
@@ -236,7 +253,13 @@ def sharing_pairs(windows: DataFrame) -> DataFrame:
     rows = windows.join(first, ["bucket", "w1", "w2"]).select("bucket", "w1", "w2", "id").distinct()
     x, y = rows.alias("x"), rows.alias("y")
     on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.w1") == F.col("y.w1")) & (F.col("x.w2") == F.col("y.w2")) & (F.col("x.id") < F.col("y.id"))
-    return x.join(y, on).select(F.col("x.id").alias("line_a"), F.col("y.id").alias("line_b")).distinct()
+    links = x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return members.withColumn("rep", F.col("key")), links
+
+
+def sharing_pairs(windows: DataFrame) -> DataFrame:
+    """Distinct pairs of records with a shared window: line_a < line_b."""
+    return member_pairs(*sharing_classes(windows))
 
 
 def shared_chars(windows: DataFrame, length: int) -> DataFrame:

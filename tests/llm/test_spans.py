@@ -103,3 +103,15 @@ def test_texts_whose_hashes_agree_share_nothing(spark, bucket_windows):
     found = S.find(df, pick, 1024, bucket_windows=bucket_windows)
     assert {tuple(r) for r in S.sharing_pairs(found).collect()} == {(1, 3)}
     assert {r.id: r.shared_chars for r in S.shared_chars(found, 1024).collect()} == {1: 1024, 3: 1024}
+
+
+def test_records_with_the_same_windows_are_one_class(spark):
+    shared, other = "the quick brown fox jumps over it " * 2, "a completely different passage here, " * 2
+    rows = [(1, [shared]), (2, [shared]), (3, ["!!" + shared]), (4, [shared, shared]), (5, [other]), (6, [other + shared]), (7, ["nothing of the kind in here at all, nothing"])]
+    df = spark.createDataFrame(rows, "id long, texts array<string>")
+    members, links = S.sharing_classes(S.find(df, pick, 30))
+    assert {r.id: r.key for r in members.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6}
+    found = [tuple(r) for r in links.collect()]
+    assert len(found) == len(set(found)) and set(found) == {(1, 4), (1, 6), (4, 6), (5, 6)}
+    pairs, _, _ = brute(rows, 30)
+    assert {tuple(r) for r in S.member_pairs(members, links).collect()} == pairs
