@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -299,6 +300,17 @@ class ChainField:
         return cls(languages, whole, transitions)
 
 
+class _Numbers(dict):
+    """Word -> number, asked for on the first meeting."""
+
+    def __init__(self, new):
+        self.new = new
+
+    def __missing__(self, word: str) -> int:
+        i = self[word] = self.new(word, len(self))
+        return i
+
+
 class Tagger:
     """Labels the sentences of many texts with one field; keeps the emissions of the words it has met."""
 
@@ -306,17 +318,14 @@ class Tagger:
 
     def __init__(self, field: ChainField):
         self.field = field
-        self.number: dict[str, int] = {}
+        self.number = _Numbers(self._new)
         self.rows = np.empty((1024, len(field.languages)))
 
-    def _id(self, word: str) -> int:
-        i = self.number.get(word)
-        if i is None:
-            i = self.number[word] = len(self.number)
-            if i == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-            s = self.field.scores(word)
-            self.rows[i] = np.exp(s - s.max())
+    def _new(self, word: str, i: int) -> int:
+        if i == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        s = self.field.scores(word)
+        self.rows[i] = np.exp(s - s.max())
         return i
 
     def _posteriors(self, emissions: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -337,9 +346,9 @@ class Tagger:
     def label(self, texts: list[str | None]) -> list[list[tuple[int, int, bool, int, np.ndarray]]]:
         """Per text its sentences: start, end, has an end mark, words, language probabilities."""
         if len(self.number) > self.BOUND:
-            self.number = {}
+            self.number.clear()
         found = [list(sentences(t)) if t else [] for t in texts]
-        ids = np.fromiter((self._id(w) for f in found for s in f for w in s[3]), np.int64)
+        ids = np.fromiter(map(self.number.__getitem__, chain.from_iterable(s[3] for f in found for s in f)), np.int64)
         if not len(ids):
             return [[] for _ in texts]
         per_sentence = np.fromiter((len(s[3]) for f in found for s in f), np.int64)
