@@ -2,7 +2,6 @@ import random
 from collections import defaultdict
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from prefixlens.llm import quantiles as Q
 
