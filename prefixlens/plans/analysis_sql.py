@@ -101,7 +101,6 @@ token AS (
     UNION ALL SELECT vid, list_append(path, chr(1114111)), CASE kind WHEN 'OBJECT' THEN '}' ELSE ']' END FROM node WHERE kind IN ('OBJECT', 'ARRAY')),
 canon AS (SELECT v, c FROM root JOIN (SELECT vid, string_agg(x, '' ORDER BY path) AS c FROM token GROUP BY vid) USING (vid))
 """
-_FREE = ("source", "captured_at")
 _RECORD_PARTS = ", ".join(
     f"'\"{k}\":' || {v}"
     for k, v in (

@@ -69,3 +69,18 @@ def test_registered_functions(spark):
         SELECT canonical_json('{"b": 1.50, "a": [1]}') AS c, canonical_json('x') AS n, loose_json('cfg: {"a": 1}') AS l, byte_lcp('né1', 'né2') AS p, fnv1a64('') AS f,
                text_similarity('abcde', 'abcdf') AS s, text_similarity_bottom_k('abcd', NULL) AS z""").first()
     assert (row.c, row.n, row.l.label, row.l.json, row.p, row.f, row.s, row.z) == ('{"a":[1],"b":1.5}', None, "cfg: ", '{"a":1}', 3, 0xCBF29CE484222325 - 2**64, 0.5, None)
+
+
+def test_pair_metric_from_sql(spark):
+    from prefixlens.functions.register import register
+    from prefixlens.operators.metric import PairMetric, Profile
+
+    register(spark)
+    units = lambda *texts: [{"collection": "messages", "kind": "visible_text", "alignment_key": "k", "tool_identity": None, "content": t} for t in texts]
+    rows = [(1, units("the same text", "one text here"), units("the same text", "one text there")), (2, units("a"), None), (3, [], [])]
+    df = spark.createDataFrame(rows, "i int, a array<struct<collection:string,kind:string,alignment_key:string,tool_identity:string,content:string>>, b array<struct<collection:string,kind:string,alignment_key:string,tool_identity:string,content:string>>")
+    df.createOrReplaceTempView("pairs_of_units")
+    got = {r.i: tuple(r.m) for r in spark.sql("SELECT i, pair_metric(a, b) AS m FROM pairs_of_units").collect()}
+    assert got[1] == PairMetric()(Profile.of(rows[0][1]), Profile.of(rows[0][2])) and 0.5 < got[1][0] < 1
+    assert got[2] == (None, None) and got[3] == PairMetric()(Profile(), Profile())
+    assert spark.sql("SELECT heading_anchor('Top 3: Fix this') AS a").first().a == "top-3-fix-this"
