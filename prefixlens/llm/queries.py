@@ -95,8 +95,12 @@ def latencies(records: DataFrame) -> DataFrame:
     return rows.where(F.col("day").isNotNull() & F.coalesce(*P3_METRICS).isNotNull())
 
 
-def _p3_digests(spark: SparkSession, base: str) -> DataFrame:
-    return quantiles.digest(latencies(table(spark, base, "corpus_records")), _P3_KEYS, P3_METRICS, "input_line")
+def _p3_values(spark: SparkSession, base: str) -> DataFrame:
+    return written(latencies(table(spark, base, "corpus_records")), "latencies")
+
+
+def _p3_digests(values: DataFrame) -> DataFrame:
+    return quantiles.digest(values, _P3_KEYS, P3_METRICS, "input_line")
 
 
 def _dated(rows: DataFrame) -> DataFrame:
@@ -105,7 +109,8 @@ def _dated(rows: DataFrame) -> DataFrame:
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
     """Read from the digests; only groups whose interval holds the limit are counted exactly."""
-    bounds = quantiles.percentiles(_p3_digests(spark, base), [*_P3_KEYS, "metric"], tuple(sorted({q for _, q, _ in P3_LIMITS})))
+    values = _p3_values(spark, base)
+    bounds = quantiles.percentiles(_p3_digests(values), [*_P3_KEYS, "metric"], tuple(sorted({q for _, q, _ in P3_LIMITS})))
     limit = F.coalesce(*[F.when((F.col("metric") == m) & (F.col("q") == F.lit(q)), F.lit(x).cast("bigint")) for m, q, x in P3_LIMITS])
     judged = written(bounds.withColumn("limit", limit).where((F.col("n") >= P3_LEAST) & F.col("limit").isNotNull() & (F.col("high") > F.col("limit"))), "quantile-bounds")
     sure = judged.where("low > limit").select(*_P3_KEYS, "metric")
@@ -113,25 +118,25 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     if not open_groups.isEmpty():
         on = F.col("endpoint_key").eqNullSafe(F.col("_e")) & (F.col("day") == F.col("_d"))
         value = F.coalesce(*[F.when(F.col("metric") == m, F.col(m)) for m in P3_METRICS])
-        once = latencies(table(spark, base, "corpus_records")).join(open_groups, on).select(*_P3_KEYS, "metric", "limit", "q", "n", "input_line", *P3_METRICS).distinct()
+        once = values.join(open_groups, on).select(*_P3_KEYS, "metric", "limit", "q", "n", "input_line", *P3_METRICS).distinct()
         exact = once.groupBy(*_P3_KEYS, "metric", "limit", "q", "n").agg(F.count_if(value <= F.col("limit")).alias("below"))
         sure = sure.unionByName(exact.where(F.col("below") < F.col("q").cast("decimal(12,10)") * F.col("n")).select(*_P3_KEYS, "metric"))
     return _dated(sure)
 
 
 def p3_daily(spark: SparkSession, base: str) -> DataFrame:
-    return _dated(quantiles.percentiles(_p3_digests(spark, base), [*_P3_KEYS, "metric"], (0.5, 0.9, 0.95, 0.99)))
+    return _dated(quantiles.percentiles(_p3_digests(_p3_values(spark, base)), [*_P3_KEYS, "metric"], (0.5, 0.9, 0.95, 0.99)))
 
 
 def p3_endpoints(spark: SparkSession, base: str) -> DataFrame:
     """Percentiles over all days of each endpoint, from the days' digests alone."""
     keys = ["endpoint_key", "metric"]
-    return quantiles.percentiles(quantiles.merge(_p3_digests(spark, base), keys), keys, (0.5, 0.9, 0.95, 0.99))
+    return quantiles.percentiles(quantiles.merge(_p3_digests(_p3_values(spark, base)), keys), keys, (0.5, 0.9, 0.95, 0.99))
 
 
 def p3_all(spark: SparkSession, base: str) -> DataFrame:
     """Percentiles over all endpoints and days, from the days' digests alone."""
-    return quantiles.percentiles(quantiles.merge(_p3_digests(spark, base), ["metric"]), ["metric"], (0.01, 0.25, 0.5, 0.75, 0.95, 0.999))
+    return quantiles.percentiles(quantiles.merge(_p3_digests(_p3_values(spark, base)), ["metric"]), ["metric"], (0.01, 0.25, 0.5, 0.75, 0.95, 0.999))
 
 
 #: Problem 6: runs of 12 words.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -52,7 +53,7 @@ def gram_sets(texts: list[list[str]], seeds: list[int], n: int, cache: WordHashe
     """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     total = int(sizes.sum())
-    flat = np.fromiter((cache[w] for ws in texts for w in ws), np.uint64, total)
+    flat = np.fromiter(map(cache.__getitem__, chain.from_iterable(texts)), np.uint64, total)
     owner = np.repeat(np.arange(len(texts)), sizes)
     if total < n:
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
