@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefixlens.sources.tables import written
+from prefixlens.sources.tables import pieces, written
 
 
 def _equal(a: str, b: str, keys: list[str]):
@@ -91,9 +91,7 @@ def with_neighbours(df: DataFrame, keys: list[str], order: list[str], number: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, before, count, first = None, None, 0, True
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in pieces(batches):
             if held is not None:
                 yield held
             rows = b.num_rows

@@ -20,6 +20,7 @@ from prefixlens.functions.times import rfc3339_seconds, window_start
 from prefixlens.options import AnalysisOptions
 from prefixlens.sources import payload as P
 from prefixlens.sources.records import Skip, skips
+from prefixlens.sources.tables import pieces
 
 #: Fixed values of the projected dialect.
 DIALECT, ADAPTER, SCHEMA = "openai-compatible-chat", "1", "openai-compatible-chat/v1"
@@ -134,7 +135,7 @@ def project(records: DataFrame, options: AnalysisOptions = AnalysisOptions(), ca
     kept = (*_KEPT, *carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             models, codes, args, sizes, flat = [], [], [], [], []
             for text in b.column(len(kept)).to_pylist():
                 payload = json.loads(text)

@@ -16,6 +16,7 @@ from prefixlens.functions.strings import saturating_sub
 from prefixlens.functions.times import rfc3339_nanos
 from prefixlens.operators.ordering import with_neighbours, with_previous
 from prefixlens.operators.projection import CONTENT_KINDS
+from prefixlens.sources.tables import pieces
 
 DOMAIN_KEYS = ("endpoint_key", "model", "model_deployment_key", "agent_key", "kv_namespace")
 
@@ -25,7 +26,8 @@ def _zero() -> Column:
 
 
 def slim_units(units: Column) -> Column:
-    return F.transform(units, lambda u: F.struct(u["fp"].alias("fp"), u["bytes"].alias("bytes"), u["kind"].isin(*CONTENT_KINDS).alias("content")))
+    """What turns are compared by; 64 bits of a unit's fingerprint, as only neighbours are compared."""
+    return F.transform(units, lambda u: F.struct(F.xxhash64(u["fp"]).alias("fp"), u["bytes"].alias("bytes"), u["kind"].isin(*CONTENT_KINDS).alias("content")))
 
 
 def block_runs(units: Column) -> Column:
@@ -81,7 +83,7 @@ def _recovered(pairs: DataFrame) -> DataFrame:
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             out = [z_run_bytes([u["fp"] for u in o], [u["fp"] for u in n], [u["bytes"] for u in o]) if o and n else 0 for o, n in zip(b.column("_old").to_pylist(), b.column("_new").to_pylist())]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names[:-1]), pa.array(out, pa.int64())], names=names)
 

@@ -18,7 +18,7 @@ from prefixlens.functions import canonical as C
 from prefixlens.functions.strings import py_trim
 from prefixlens.operators.ordering import row_numbers
 from prefixlens.options import AnalysisOptions
-from prefixlens.sources.tables import spread, written
+from prefixlens.sources.tables import pieces, spread, written
 
 #: Payload keys that hold the reserved usage object.
 USAGE_KEYS = ("_response_usage",)
@@ -134,7 +134,7 @@ def load_line(line: str) -> dict:
 
 
 def _batches(batches: Iterator[pa.RecordBatch], load) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches):
         rows = []
         for line, *values in zip(*(c.to_pylist() for c in b.columns)):
             try:
@@ -200,7 +200,8 @@ def numbered(records: DataFrame) -> DataFrame:
     """
     narrow = records.select(F.col("request_id").alias("h"), "input_line")
     repeated = narrow.join(narrow.groupBy("h").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("h"), "h")
-    numbers = row_numbers(repeated, ["h"], ["input_line"], "_n").select("input_line", "_n")
+    # written, so that the planner knows it to be small, where it is, and leaves the wide rows where they lie
+    numbers = written(row_numbers(repeated, ["h"], ["input_line"], "_n").select("input_line", "_n"), "numbers")
     number = F.coalesce(F.col("_n") - 1, F.lit(0)).cast("string")
     return records.join(numbers, "input_line", "left").withColumn("request_id", F.concat("request_id", F.lit(":"), number)).drop("_n")
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: The setting that names it.
@@ -73,3 +75,14 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+#: Rows that stages over wide rows work on at a time.
+PIECE = 256
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches a few rows at a time: Python objects of a whole batch of wide rows would fill an executor."""
+    for b in batches:
+        for i in range(0, b.num_rows, PIECE):
+            yield b.slice(i, PIECE)

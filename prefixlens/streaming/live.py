@@ -28,6 +28,7 @@ from prefixlens.operators.projection import CONTENT_KINDS, project
 from prefixlens.options import AnalysisOptions
 from prefixlens.plans.pipeline import NothingToAnalyse, analyse_loaded, write_tables
 from prefixlens.sources import records as R
+from prefixlens.sources.tables import pieces
 
 
 def stream_lines(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
@@ -69,8 +70,8 @@ def load(lines: DataFrame, options: AnalysisOptions = AnalysisOptions()) -> Data
         return R.load_line(line)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for out in R._batches([b.select(["input_line", "line"])], one):
+        for b in pieces(batches):
+            for out in R._batches(iter([b.select(["input_line", "line"])]), one):
                 yield out.append_column("place", b.column("place"))
 
     return lines.select("input_line", F.coalesce("line", F.lit("")).alias("line"), "place").mapInArrow(run, PLACED)
