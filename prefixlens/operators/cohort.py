@@ -135,8 +135,10 @@ def _variants(seqs: DataFrame) -> DataFrame:
 
 def find_cohorts(seqs: DataFrame, options: AnalysisOptions = AnalysisOptions(), mode: str = "compat", task_variants: int = TASK_VARIANTS) -> DataFrame:
     """COHORTS rows: one per cohort member, and one with skip_members per domain whose budget ran out."""
-    rows = written(_variants(seqs), "variants")
-    sizes = rows.groupBy(*DOMAIN).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("variant").alias("distinct")).where(F.col("n") >= options.min_template_members)
+    # domains too small for a cohort go first, by their keys alone
+    alive = seqs.groupBy(*DOMAIN).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= options.min_template_members).drop("n")
+    rows = written(_variants(_join_domain(seqs, written(alive, "domains"))), "variants")
+    sizes = written(rows.groupBy(*DOMAIN).agg(F.count_distinct("variant").alias("distinct")), "sizes")
     marked = _join_domain(rows, sizes.select(*DOMAIN, (F.col("distinct") > task_variants).alias("large")))
     # one representative of each variant carries the units; the other members are ids only
     representative = marked.groupBy(*DOMAIN, "variant", "large").agg(F.min("request_id").alias("request_id")).drop("large")
