@@ -146,6 +146,41 @@ def test_large_domains_take_the_distributed_rounds(spark):
     assert sorted(tuple(r) for r in far.where("cohort_id IS NOT NULL").select("cohort_id", "medoid_request_id", "request_id").collect()) == near and len({r[0] for r in near}) == 2
 
 
+def test_large_domains_take_few_passes(spark, monkeypatch):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    lines = [line(system(TAIL[: rnd.randint(50, 90)], word()), i % 50) for i in range(12)] + [line(system(" ".join(word() for _ in range(15))), i) for i in range(30)]
+    from prefixlens.operators import projection as PJ
+
+    o = AnalysisOptions(max_candidates_per_request=8)
+    seqs = PJ.sequences(PJ.project(R.identified(R.load_lines(frame(spark, lines)))))
+    passes, kept = [], CO.written
+    monkeypatch.setattr(CO, "written", lambda df, label: passes.append(label) or kept(df, label))
+    rows = lambda **x: sorted(map(repr, CO.find_cohorts(seqs, o, **x).collect()))
+    near = rows()
+    passes.clear()
+    assert rows(task_variants=0) == near and "skip_members=None" in near[0]
+    assert len(passes) < 25
+    # many accepted variants: a pass per round
+    assert rows(task_variants=0, linked_variants=0) == near
+
+
+def test_bounds_leave_no_accepted_pair_out():
+    rnd = random.Random(8)
+    o, words = AnalysisOptions(), ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
+    text = lambda: " ".join(rnd.choice(words) for _ in range(rnd.choice([0, 1, 4, 30, 90])))
+    bases = [[unit(text(), key=rnd.choice("kl"), tool=rnd.choice([None, "t", "u"])) for _ in range(rnd.randint(1, 6))] for _ in range(12)]
+    profiles = []
+    for _ in range(90):
+        units = [u if rnd.random() < 0.8 else {**u, "content": rnd.choice([u["content"] + " " + text(), text(), u["content"][3:]])} for u in rnd.choice(bases)]
+        profiles.append(M.Profile.of(units + units[:1] * rnd.randint(0, 2)))
+    for mode in ("compat", "bottom_k"):
+        m = M.PairMetric(mode)
+        may = M.Bound(profiles, m, o).rows(list(range(90)))
+        ok = np.array([[M.accepts(m(a, b), o) for b in profiles] for a in profiles])
+        assert not (ok & ~may).any() and may.sum() < 0.6 * may.size and ok.sum() > 90
+
+
 def test_json_equality():
     assert D.loose_json('label: {"a": 1}') == ("label: ", '{"a":1}') and D.loose_json("no") is None and D.loose_json('  {"a":') is None
     assert D.equal_json(['{"a":1,"b":2}', '{"b":2, "a":1}']) and not D.equal_json(['{"a":1}', '{"a":1}']) and not D.equal_json(["[1,2]", "[2,1]"]) and not D.equal_json(['{"a":1}', '{"a":1.0}']) and not D.equal_json(['x {"a":1}', 'y {"a": 1}'])
