@@ -181,6 +181,16 @@ def test_bounds_leave_no_accepted_pair_out():
         assert not (ok & ~may).any() and may.sum() < 0.6 * may.size and ok.sum() > 90
 
 
+def test_search_scores_few_of_the_pairs(monkeypatch):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    profiles = [M.Profile.of([unit(" ".join(word() for _ in range(20)))]) for _ in range(60)]
+    calls, plain = [], M.PairMetric.__call__
+    monkeypatch.setattr(M.PairMetric, "__call__", lambda self, a, b: calls.append(1) or plain(self, a, b))
+    assert CO.discover([(f"{i:02d}", i) for i in range(60)], profiles, AnalysisOptions()) == ([], 0)
+    assert len(calls) < 120
+
+
 def test_json_equality():
     assert D.loose_json('label: {"a": 1}') == ("label: ", '{"a":1}') and D.loose_json("no") is None and D.loose_json('  {"a":') is None
     assert D.equal_json(['{"a":1,"b":2}', '{"b":2, "a":1}']) and not D.equal_json(['{"a":1}', '{"a":1}']) and not D.equal_json(["[1,2]", "[2,1]"]) and not D.equal_json(['{"a":1}', '{"a":1.0}']) and not D.equal_json(['x {"a":1}', 'y {"a": 1}'])
