@@ -217,6 +217,20 @@ def test_inline_slot_on_character_borders(spark):
             assert s.utf8_bytes == s.source.byte_end - s.source.byte_start
 
 
+def test_only_units_of_members_move(spark, capsys):
+    from prefixlens.operators import extract as E
+    from prefixlens.operators import projection as PJ
+    from prefixlens.sources.tables import written
+
+    lines = [line(system(t, TAIL), i) for i, t in enumerate(["alpha", "bravo", "charlie"])] + [line(system(f"alone {i} " * 9), model=f"m{i}") for i in range(9)]
+    seqs = written(PJ.sequences(PJ.project(R.identified(R.load_lines(frame(spark, lines))))), "seqs")
+    cohorts = written(CO.find_cohorts(seqs), "cohorts")
+    placed, _ = E._cohort_rows(cohorts, seqs, AnalysisOptions())
+    assert placed.count() == 3
+    placed.explain()
+    assert "LeftSemi, BuildRight" in capsys.readouterr().out
+
+
 def test_inserted_block_reorder_and_versions(spark):
     tools = lambda *names: [tool(n) for n in names]
     swapped = analyse(spark, [line(system(TAIL), i, tools=tools(*(("a", "b") if i < 2 else ("b", "a")))) for i in range(4)])
